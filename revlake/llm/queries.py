@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from revlake.llm.common import held_out, materialise, read_table, shared_dir
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlake.llm.webp import store_texts
+
+    return store_texts(read_table(spark, sf_dir, "documents"), with_media=False)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlake.llm.quality import score_quality
+
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlake.llm.toxicity import score_toxicity
+
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlake.llm.bpe import encode_documents
 
@@ -36,5 +54,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op7_simple8b, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op5_bpe, op7_simple8b, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
