@@ -37,8 +37,9 @@ from revlake.llm.quality import logistic_1d, training_labels
 LABELLED = 20_000
 #: Learned voters at most, and candidates that they are chosen from.
 VOTERS, CANDIDATES = 60, 4000
-STEM = (4, 5, 6)
-OFTEN = (1, 2, 3, 5, 8)
+STEM = (4, 5, 6, 7)
+#: Least counts at which a stem voter fires; negative: so many in a thousand words.
+OFTEN = (1, 2, 3, 5, 8, -4, -8, -15)
 ROUNDS = 6
 
 #: Words of abuse, each one a voter; groups of patterns follow.
@@ -84,9 +85,10 @@ def _stem_stage(shared):
         for batch, texts in batches(it):
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
                 y = shared.value[doc]
+                of = len(text.split())
                 for stem, n in stems(text).items():
                     for k in OFTEN:
-                        if n >= k:
+                        if n >= k if k > 0 else 1000 * n >= -k * of:
                             tally[stem, k, y] += 1
             if len(tally) > 300_000:
                 yield flush()
@@ -137,13 +139,15 @@ def _count_stage(voters: Voters):
         automaton = voters.automaton()
         group, often = (np.array(x) for x in zip(*voters.voters))
         for batch, texts in batches(it):
-            counts = np.zeros((len(texts), len(voters.groups)), np.int32)
+            counts = np.zeros((len(texts), len(voters.groups) + 1), np.int32)
             for row, text in zip(counts, texts):
                 for _, owners in automaton.iter(normal(text)):
                     for g in owners:
                         row[g] += 1
-            fired = np.packbits(counts[:, group] >= often, axis=1)
             some = counts.any(axis=1)
+            counts[:, -1] = [len(t.split()) for t in texts]
+            own = counts[:, group].astype(np.int64)
+            fired = np.packbits((own > 0) & np.where(often > 0, own >= often, 1000 * own >= -often * counts[:, -1:]), axis=1)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "counts": pa.array([r.astype("<i4").tobytes() if s else b"" for r, s in zip(counts, some)], pa.binary()),
@@ -154,10 +158,10 @@ def _count_stage(voters: Voters):
 
 
 def _rows(column: pa.Array, groups: int) -> np.ndarray:
-    """Counts of a batch as a matrix of square roots of log counts; no counts are zeros."""
-    empty = bytes(4 * groups)
-    data = np.frombuffer(b"".join(x or empty for x in column.to_pylist()), "<i4").reshape(-1, groups)
-    return np.log1p(data)
+    """Logarithms of each group's count and of its share in a thousand words; no counts are zeros."""
+    empty = bytes(4 * groups + 4)
+    data = np.frombuffer(b"".join(x or empty for x in column.to_pylist()), "<i4").reshape(-1, groups + 1)
+    return np.hstack([np.log1p(data[:, :-1]), np.log1p(1000 * data[:, :-1] / np.maximum(data[:, -1:], 1))])
 
 
 def _choose(candidates: list, positives: int, negatives: int, voters: Voters) -> None:
@@ -197,8 +201,8 @@ def _unpack(votes: pa.Array, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(votes.to_pylist()), np.uint8).reshape(-1, width), axis=1)[:, :n].astype(np.float64)
 
 
-def fit_label_model(patterns: DataFrame, n: int, start: LabelModel, strength: float = 50.0) -> LabelModel:
-    """Expectation-maximisation over ``patterns`` (votes, count), held to ``start`` by pseudo-counts."""
+def fit_label_model(patterns: DataFrame, n: int, start: LabelModel, strength: np.ndarray) -> LabelModel:
+    """Expectation-maximisation over ``patterns`` (votes, count), held to ``start`` by ``strength`` pseudo-counts of either class."""
     spark, model = patterns.sparkSession, start
 
     def sums(kind: str) -> np.ndarray:
@@ -227,9 +231,9 @@ def fit_label_model(patterns: DataFrame, n: int, start: LabelModel, strength: fl
             return model
         mass = np.array([s[0] - s[1], s[1]])
         fired = s[2:].reshape(2, n)
-        rates = np.clip((fired + strength * start.rates) / (mass[:, None] + strength), 1e-5, 1 - 1e-5)
+        rates = np.clip((fired + strength[:, None] * start.rates) / (mass + strength)[:, None], 1e-5, 1 - 1e-5)
         rates[1] = np.maximum(rates[1], rates[0] * 1.01)  # a voter never speaks for the clean class
-        prior = float(np.clip((s[1] + strength * start.prior) / (s[0] + strength), 1e-4, 0.5))
+        prior = float(np.clip((s[1] + strength.sum() * start.prior) / (s[0] + strength.sum()), 1e-4, 0.5))
         weight = model.weight
         if step == 0:
             # Correlation within a class: what a pair fires together beyond chance.
@@ -303,7 +307,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float =
         rates[k] = (own.sum(axis=0) + hand) / (len(own) + 1.0)
     rates = np.clip(rates, 1e-5, 1 - 1e-5)
     rates[1] = np.maximum(rates[1], rates[0] * 1.01)
-    model = fit_label_model(patterns, n, LabelModel(rates, np.ones(n), share))
+    model = fit_label_model(patterns, n, LabelModel(rates, np.ones(n), share), np.array([50.0 + 4 * (y == k).sum() for k in (0, 1)]))
 
     weights, scale, shift = None, 1.0, 0.0
     if rows and 0 < y.sum() < len(y):
