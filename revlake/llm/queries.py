@@ -32,6 +32,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlake.llm.neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlake.llm.simple8b import read_tokens, write_tokens
 
@@ -54,5 +60,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op5_bpe, op7_simple8b, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op5_bpe, op6_neardup, op7_simple8b, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
