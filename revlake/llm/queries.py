@@ -46,6 +46,14 @@ def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlake.llm.secrets import scan_secrets, spans_text
+
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlake.llm.decontaminate import scan_documents
 
@@ -60,5 +68,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op5_bpe, op6_neardup, op7_simple8b, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op5_bpe, op6_neardup, op7_simple8b, op8_secrets, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
