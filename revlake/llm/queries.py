@@ -54,6 +54,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlake.llm.licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlake.llm.decontaminate import scan_documents
 
@@ -68,5 +74,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op5_bpe, op6_neardup, op7_simple8b, op8_secrets, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op5_bpe, op6_neardup, op7_simple8b, op8_secrets, op9_licenses, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
