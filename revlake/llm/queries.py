@@ -26,6 +26,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlake.llm.maxent import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlake.llm.bpe import encode_documents
 
@@ -74,5 +80,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op5_bpe, op6_neardup, op7_simple8b, op8_secrets, op9_licenses, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_quality, op3_toxicity, op4_maxent, op5_bpe, op6_neardup, op7_simple8b, op8_secrets, op9_licenses, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
