@@ -80,6 +80,15 @@ def batches(it: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple
             lo = hi
 
 
+#: Rows that a join may broadcast (a few longs each); beyond that it shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def held_out(modulus: int, remainder: int):
     """True for the rows whose labels or texts no model may learn from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))

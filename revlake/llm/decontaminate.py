@@ -163,8 +163,10 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ke
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def cut_words(text: str, places: list[int]) -> str:
+def cut_words(text: str | None, places: list[int] | None) -> str | None:
     """``text`` without the words at ``places`` and what stands between adjacent ones."""
+    if text is None or places is None:
+        return text
     gone, out, at, before = set(places), [], 0, -2
     for k, m in enumerate(_WORD.finditer(text)):
         if k in gone:
@@ -181,8 +183,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 2, wi
     found = scan_documents(docs, benchmark, width, tuple(docs.columns))
     kept = found.filter(F.size("items") < most_items)
     cut = F.udf(cut_words, "string")
-    text = F.when(F.size("hits") > 0, cut("text", "hits")).otherwise(F.col("text"))
+    hit = F.size("hits") > 0
+    # Only texts with hits go through Python once more.
+    text = F.when(hit, cut(F.when(hit, F.col("text")), F.when(hit, F.col("hits")))).otherwise(F.col("text"))
     out = kept.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("hits") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -122,7 +122,7 @@ def _sketch_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in batches(it):
         sets = [shingles(t) for t in texts]
         yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"),
+            **{c: batch.column(c) for c in batch.schema.names if c != "text"},
             "n": pa.array([len(s) for s in sets], pa.int64()),
             "cid": pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
             "sketch": pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -214,13 +214,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document."""
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the ``carry`` columns (of type long), n_shingles, component_id, kept, and
+    group: a name of the component that ids have no part in, null without words."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    longs = "".join(f", {c} long" for c in carry)
+    base = materialise(docs.select("doc_id", *carry, "text").mapInArrow(_sketch_stage, f"doc_id long{longs}, n long, cid long, sketch binary"))
     docs = docs.select("doc_id", "text")
-    base = materialise(docs.mapInArrow(_sketch_stage, "doc_id long, n long, cid long, sketch binary"))
-    small = base.select("doc_id", "n", "cid")
+    small = base.select("doc_id", *carry, "n", "cid")
     classes = base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes)
 
@@ -282,8 +284,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = components(links.union(last))
 
     least = comps.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component"))
-    linked = materialise(comps.join(least, "comp").select("cid", "component"))
-    named = classes.select("cid", "rep").join(linked, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"))
+    linked = materialise(comps.join(least, "comp").select("cid", "comp", "component"))
+    named = classes.select("cid", "rep").join(linked, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"), F.coalesce("comp", "cid").alias("group"))
     found = small.join(named, "cid", "left")
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return found.select("doc_id", *carry, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "group")

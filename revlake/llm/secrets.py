@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import LOWER, batches, bounded_batches, materialise
+from revlake.llm.common import LOWER, batches, bounded_batches, materialise, sized
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -226,8 +226,10 @@ def spans_text(column: str):
 MARK = "[secret]"
 
 
-def cut_spans(text: str, spans: list) -> str:
+def cut_spans(text: str | None, spans: list | None) -> str | None:
     """``text`` with MARK in place of every span; spans that touch are one."""
+    if text is None or spans is None:
+        return text
     out, at = [], 0
     for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
         if s["start"] >= at:
@@ -241,9 +243,11 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
     spans = scan_secrets(rows).filter(F.size("spans") > 0).select("_row", "spans")
     cut = F.udf(cut_spans, "string")
-    found = rows.join(spans, "_row", "left").withColumn("text", F.when(F.col("spans").isNotNull(), cut("text", "spans")).otherwise(F.col("text")))
+    hit = F.col("spans").isNotNull()
+    # Only texts with spans go through Python.
+    found = rows.join(sized(materialise(spans)), "_row", "left").withColumn("text", F.when(hit, cut(F.when(hit, F.col("text")), "spans")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 

@@ -149,7 +149,7 @@ def _count_stage(voters: Voters):
             own = counts[:, group].astype(np.int64)
             fired = np.packbits((own > 0) & np.where(often > 0, own >= often, 1000 * own >= -often * counts[:, -1:]), axis=1)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
+                **{c: batch.column(c) for c in batch.schema.names if c != "text"},
                 "counts": pa.array([r.astype("<i4").tobytes() if s else b"" for r, s in zip(counts, some)], pa.binary()),
                 "votes": pa.array([r.tobytes() for r in fired], pa.binary()),
             })
@@ -266,11 +266,13 @@ def _logistic(x: np.ndarray, p: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted (1: toxic) for every document."""
+def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the ``carry`` columns (of type long), held_out, score, predicted (1: toxic)
+    and the label model's posterior for every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", *carry, "text")
+    longs = "".join(f", {c} long" for c in carry)
     voters, sample, share = hand_written(), {}, 0.05
     totals = {0: 0, 1: 0}
     if labels is not None:
@@ -291,7 +293,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float =
         if positives and negatives:
             _choose(best, positives, negatives, voters)
     n, groups = len(voters.voters), len(voters.groups)
-    counted = materialise(docs.mapInArrow(_count_stage(voters), "doc_id long, counts binary, votes binary"))
+    counted = materialise(docs.mapInArrow(_count_stage(voters), f"doc_id long{longs}, counts binary, votes binary"))
     patterns = counted.groupBy("votes").count()
     patterns = materialise(patterns)
 
@@ -328,7 +330,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float =
             if weights is not None:
                 x = _rows(batch.column("counts"), groups)
                 score = 1 / (1 + np.exp(-np.clip(scale * np.clip(x @ weights[:-1] + weights[-1], -20, 20) + shift, -35, 35)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score), "posterior": pa.array(posterior)})
+            kept = {c: batch.column(c) for c in ("doc_id", *carry)}
+            yield pa.RecordBatch.from_pydict({**kept, "score": pa.array(score), "posterior": pa.array(posterior)})
 
-    scored = counted.mapInArrow(run, "doc_id long, score double, posterior double")
-    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "posterior")
+    scored = counted.mapInArrow(run, f"doc_id long{longs}, score double, posterior double")
+    return scored.select("doc_id", *carry, held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "posterior")
