@@ -21,6 +21,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,8 +32,9 @@ from pyspark.sql import DataFrame
 
 from revlake.llm.common import batches, bounded_batches
 
-#: Entries kept of each table of remembered pieces and words.
-REMEMBERED = 600_000
+#: Entries of each table of remembered pieces and words. A full table becomes the
+#: older of two, from which what is used again moves to the new one.
+REMEMBERED = 450_000
 
 #: The vocabulary's own split pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -112,7 +114,9 @@ class Encoder:
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
+        self.older_pieces: dict[bytes, bytes] = {}
         self.library = None
 
     def compatible(self, a: int, b: int) -> bool:
@@ -207,25 +211,36 @@ class Encoder:
                 for w in self._split(part):
                     ids = self.words.get(w)
                     if ids is None:
+                        ids = self.older_words.get(w)
+                        if ids is None:
+                            ids = array("I", self.word(w)).tobytes()
                         if len(self.words) > REMEMBERED:
-                            self.words.clear()
-                        ids = self.words[w] = np.array(self.word(w), "<u4").tobytes()
+                            self.older_words, self.words = self.words, {}
+                        if len(w) <= 64:
+                            self.words[w] = ids
                     out.append(ids)
         return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of UTF-8 ``text`` as little-endian 32-bit integers."""
-        known, out = self.pieces, []
-        for p in text.split():
-            ids = known.get(p)
+        parts = text.split()
+        out, at = list(map(self.pieces.get, parts)), -1
+        if None not in out:
+            return b"".join(out)
+        while True:
+            try:
+                at = out.index(None, at + 1)
+            except ValueError:
+                return b"".join(out)
+            p = parts[at]
+            ids = self.pieces.get(p) or self.older_pieces.get(p)
             if ids is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
                 ids = self.piece(p)
-                if len(p) <= 64:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+            if len(self.pieces) > REMEMBERED:
+                self.older_pieces, self.pieces = self.pieces, {}
+            if len(p) <= 64:
+                self.pieces[p] = ids
+            out[at] = ids
 
     def decode(self, ids: np.ndarray) -> str:
         return self.names.gather(ids)[0][:-1].decode()

@@ -32,7 +32,7 @@ SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (1
 ESCAPE = 15
 BLOCK = 1 << 16
 #: Bytes of text whose tokens make one segment, if more than one document.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 
 
 def _fits(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
