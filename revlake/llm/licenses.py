@@ -111,6 +111,8 @@ def rules() -> list[tuple[str, str, str, float]]:
     for label, key, name, ident in LICENSES:
         for phrase, p, c in PHRASINGS:
             out.append((p, label, key, "(?<= )" + phrase.replace("NAME", name).replace("ID", ident) + "(?= )", c))
+        if "licen" in name or key in ("cc", "cc0"):  # such names stand for a license by themselves
+            out.append((48, label, key, f"(?<= ){name}(?= )", 0.6))
     # Of equal priority, the longer expression comes first: it names more.
     return [r[1:] for r in sorted(out, key=lambda r: (-r[0], -len(r[3]), r[1]))]
 

@@ -201,7 +201,7 @@ def feature_rows(context: np.ndarray) -> np.ndarray:
     keys = [np.zeros_like(one), one + 1, (one * CLASSES + two), two, three, one * COARSE + three, context]
     out = np.empty((len(context), len(keys)), np.int64)
     for k, key in enumerate(keys):
-        x = (key.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (key.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0xC2B2AE3D27D4EB4F % 2**64)
         x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
         out[:, k] = (x >> np.uint64(20)) % np.uint64(HASHED - CLASSES - 1) + np.uint64(CLASSES + 1)
     out[:, 0], out[:, 1] = 0, one + 1  # the bias and the class before are not shared
