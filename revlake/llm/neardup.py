@@ -23,8 +23,8 @@ survive three levels is missed with 3e-5. A sketch rejects a true pair with 3e-5
 
 *Components* are the least labels over confirmed links, by label propagation with
 pointer jumping on tables in the shared folder; nothing is collected to the driver
-but counts. Null text: no words. Null ids: such documents belong to the classes of
-their texts, never give a component its id, and are not kept.
+but counts. Null text: no words. Documents without an id link like any other, never
+give a component its id, and are not kept.
 """
 
 from __future__ import annotations
@@ -135,22 +135,46 @@ def _sets_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"cid": batch.column("cid"), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+def _branch(paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and names of the children that the rows' minwise tokens pick."""
+    limit = np.uint64(int(2**32 * BRANCHES / COORDINATES))
+    named = _mix(tokens ^ (paths * np.uint64(0xA24BAED4963EE407))[:, None])
+    row, at = np.nonzero((named & np.uint64(0xFFFFFFFF)) < limit)
+    return row, _mix(named[row, at] + np.uint64(1)).view(np.int64)
+
+
+def _tokens(sketches: pa.Array) -> np.ndarray:
+    places = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _mix(np.frombuffer(b"".join(sketches.to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint64) ^ places)
+
+
+def _root_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Children of every row (cid, sketch) in all trees."""
+    for batch in it:
+        if batch.num_rows:
+            tokens = _tokens(batch.column("sketch"))
+            for tree in range(1, TREES + 1):
+                row, path = _branch(np.full(len(tokens), tree, np.uint64), tokens)
+                yield pa.RecordBatch.from_pydict({"path": pa.array(path), "cid": batch.column("cid").take(pa.array(row))})
 
 
 def _branch_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Children of every row (path, cid, sketch)."""
-    limit = np.uint64(int(2**32 * BRANCHES / COORDINATES))
-    places = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for batch in it:
-        if not batch.num_rows:
-            continue
-        paths = batch.column("path").to_numpy().view(np.uint64)
-        tokens = _mix(_sketches(batch.column("sketch")).astype(np.uint64) ^ places)
-        named = _mix(tokens ^ (paths * np.uint64(0xA24BAED4963EE407))[:, None])
-        row, at = np.nonzero((named & np.uint64(0xFFFFFFFF)) < limit)
-        yield pa.RecordBatch.from_pydict({"path": pa.array(_mix(named[row, at] + np.uint64(1)).view(np.int64)), "cid": batch.column("cid").take(pa.array(row))})
+        if batch.num_rows:
+            row, path = _branch(batch.column("path").to_numpy().view(np.uint64), _tokens(batch.column("sketch")))
+            yield pa.RecordBatch.from_pydict({"path": pa.array(path), "cid": batch.column("cid").take(pa.array(row))})
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def _signature_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One byte of every minwise hash, by which sketches are compared."""
+    for batch in it:
+        low = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in batch.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in batch.schema.names}, "sig": pa.array(low, pa.binary())})
 
 
 def _similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -161,7 +185,7 @@ def _similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 def _allow_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         if batch.num_rows:
-            ok = _similar(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            ok = _similar(_signatures(batch.column("sig_a")), _signatures(batch.column("sig_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -175,25 +199,50 @@ def _confirm_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _exhaust_stage(_key, frame):
-    """Pairs of one small node (or of two blocks of a large one) between components."""
-    import pandas as pd
-
-    cid, comp, n = frame["cid"].to_numpy(), frame["comp"].to_numpy(), frame["n"].to_numpy()
-    side = frame["side"].to_numpy()
-    s = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(-1, COORDINATES)
-    out_a, out_b = [], []
-    for i in range(len(cid)):
-        js = np.flatnonzero((cid > cid[i]) & (comp != comp[i]) & ((side != side[i]) | (side < 0)))
-        js = js[_similar(s[js], s[i], n[js], n[i])] if len(js) else js
-        out_a += [cid[i]] * len(js)
-        out_b += cid[js].tolist()
-    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+def _exhaust_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs between components in every small node, or across two blocks of a large one
+    (side: the block of a row, -1 where pairs within count). Rows come sorted by node."""
+    names = ("path", "x", "y", "cid", "comp", "n", "side")
+
+    def pairs(c: dict[str, np.ndarray], sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(c["path"]), bool)
+        new[1:] = (c["path"][1:] != c["path"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.concatenate([starts, [len(new)]]))
+        for m in np.unique(sizes[sizes > 1]).tolist():
+            left, right = np.triu_indices(m, 1)
+            own = starts[sizes == m]
+            step = max(1, 200_000 // len(left))
+            for lo in range(0, len(own), step):
+                i = (own[lo : lo + step, None] + left).reshape(-1)
+                j = (own[lo : lo + step, None] + right).reshape(-1)
+                use = (c["comp"][i] != c["comp"][j]) & ((c["side"][i] != c["side"][j]) | (c["side"][i] < 0))
+                i, j = i[use], j[use]
+                if len(i):
+                    ok = _similar(sig[i], sig[j], c["n"][i], c["n"][j])
+                    a, b = c["cid"][i[ok]], c["cid"][j[ok]]
+                    if len(a):
+                        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    held, kept = None, None
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        c = {k: batch.column(k).to_numpy() for k in names}
+        sig = _signatures(batch.column("sig"))
+        if held is not None:
+            c, sig = {k: np.concatenate([held[k], c[k]]) for k in names}, np.concatenate([kept, sig])
+        # The last node may go on in the next batch.
+        last = (c["path"] == c["path"][-1]) & (c["x"] == c["x"][-1]) & (c["y"] == c["y"][-1])
+        cut = int(np.flatnonzero(last)[0]) if last.any() else len(last)
+        yield from pairs({k: v[:cut] for k, v in c.items()}, sig[:cut])
+        held, kept = {k: v[cut:] for k, v in c.items()}, sig[cut:]
+    if held is not None:
+        yield from pairs(held, kept)
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
     """Rows (path, cid) of nodes with two classes or more, with size and least class."""
-    rows = rows.dropDuplicates(["path", "cid"])
     nodes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).filter("size > 1")
     return rows.join(nodes, "path")
 
@@ -226,25 +275,23 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     classes = base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes)
 
-    # Links need an id to read a text again by; a class without ids has none and stays alone.
-    roots = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("path")
-    level = classes.filter("rep is not null").select(roots, "cid", "sketch")
-    rows = materialise(_nodes(level.mapInArrow(_branch_stage, "path long, cid long")))
-    seen = materialise(classes.join(rows.select("cid").distinct(), "cid", "left_semi"))
+    rows = materialise(_nodes(classes.select("cid", "sketch").mapInArrow(_root_stage, "path long, cid long")))
+    met = classes.select("cid", "rep", "n", "sketch").join(rows.select("cid").distinct(), "cid", "left_semi")
+    seen = materialise(met.mapInArrow(_signature_stage, "cid long, rep long, n long, sketch binary, sig binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are links, confirmed on the full sets."""
         pairs = pairs.select("a", "b").distinct()
-        of = lambda s: seen.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-        allowed = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allow_stage, "a long, b long"))
+        of = lambda s: seen.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+        allowed = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_allow_stage, "a long, b long"))
         ends = allowed.select(F.col("a").alias("cid")).union(allowed.select("b")).distinct()
-        ids = materialise(seen.select("cid", F.col("rep").alias("doc_id")).join(ends, "cid"))
+        ids = materialise(seen.select("cid", "rep").join(ends, "cid"))
         again = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        # A repeated id may stand for other texts; only the class's own is its set.
-        sets = docs.join(again, "doc_id").mapInArrow(_sets_stage, "cid long, members binary")
+        # A repeated or missing id may stand for other texts; only the class's own is its set.
+        sets = docs.join(again, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text").mapInArrow(_sets_stage, "cid long, members binary")
         sets = materialise(sets.filter(F.length("members") > 0))
         named = F.udf(lambda b: class_of(np.frombuffer(b, np.uint64)), "long")
-        repeated = small.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
+        repeated = small.groupBy("doc_id").count().filter("count > 1").limit(1).count()
         if repeated:
             sets = materialise(sets.filter(named("members") == F.col("cid")).dropDuplicates(["cid"]))
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
@@ -272,14 +319,16 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rest = waiting[0]
     for w in waiting[1:]:
         rest = rest.union(w)
-    info = seen.join(comps, "cid", "left").select("cid", "n", "sketch", F.coalesce("comp", "cid").alias("comp"))
+    info = seen.join(comps, "cid", "left").select("cid", "n", "sig", F.coalesce("comp", "cid").alias("comp"))
     groups = rest.select("path", "cid", F.lit(-1).alias("side"), F.lit(0).alias("x"), F.lit(0).alias("y"))
     blocks = F.ceil(F.col("size") / F.lit(SMALL)).cast("int")
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     cut = large.select("path", "cid", blocks.alias("blocks"), own.alias("own")).select("path", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     groups = groups.union(cut.select("path", "cid", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
     # Within a block all pairs count (side -1), between two blocks only those across.
-    pairs = groups.join(info, "cid").groupBy("path", "x", "y").applyInPandas(_exhaust_stage, "a long, b long")
+    # A group has at most 2 * SMALL rows or so, thus dealing by its name is even.
+    dealt = groups.join(info, "cid").repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
+    pairs = dealt.mapInArrow(_exhaust_stage, "a long, b long")
     last = confirmed(pairs)
     comps = components(links.union(last))
 
