@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers)
 
 #: Rows and bytes of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 2000
@@ -55,14 +54,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_materialised(*frames: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote, once nothing reads them again."""
-    for df in frames:
-        for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
