@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import LOWER, batches, bounded_batches, materialise
+from revlake.llm.common import LOWER, batches, bounded_batches, materialise, sized
 
 WIDTH = 5
 THRESHOLD = 75
@@ -48,8 +48,6 @@ TREES = 10
 BRANCHES = 2.0
 SMALL = 400
 DEPTH = 5
-#: Broadcast ids of documents to read again up to this many (16 MB), else shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20_011)
 _LETTER = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,9 +284,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         allowed = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_allow_stage, "a long, b long"))
         ends = allowed.select(F.col("a").alias("cid")).union(allowed.select("b")).distinct()
         ids = materialise(seen.select("cid", "rep").join(ends, "cid"))
-        again = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         # A repeated or missing id may stand for other texts; only the class's own is its set.
-        sets = docs.join(again, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text").mapInArrow(_sets_stage, "cid long, members binary")
+        sets = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text").mapInArrow(_sets_stage, "cid long, members binary")
         sets = materialise(sets.filter(F.length("members") > 0))
         named = F.udf(lambda b: class_of(np.frombuffer(b, np.uint64)), "long")
         repeated = small.groupBy("doc_id").count().filter("count > 1").limit(1).count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlake.llm.common import held_out, materialise, read_table, shared_dir
+from revlake.llm.common import read_table, shared_dir
 
 
 def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
