@@ -9,21 +9,23 @@ which is looked at once. *Sketch.* ``COORDINATES`` minwise hashes of the set.
 children named by those of its minwise tokens (coordinate, value) that a hash of
 tree, path and token picks, ``BRANCHES`` of them on average; classes that share a
 picked token meet in the child. Nodes of one class end. In every node all classes
-are compared with its least one; candidates whose sketches and sizes allow the
+are compared with one central class; candidates whose sketches and sizes allow the
 similarity are confirmed on the full sets. What is confirmed is contracted: a node
 all of whose classes are connected needs no more comparisons, so groups of copies of
-any size cost a star of links, not all pairs. Other nodes of at most ``SMALL`` classes
-are compared exhaustively between components; larger ones branch again. Nodes that
-are still large after ``DEPTH`` levels are compared exhaustively block against
-block, so nothing is dropped.
+any size cost a star of links, not all pairs. Other nodes with at most ``CROSS`` pairs
+between components are compared exhaustively across them; larger ones branch again.
+Nodes that are still large after ``DEPTH`` levels are compared exhaustively block
+against block, so nothing is dropped. What sketches allow is kept as clusters of
+classes, not as pairs; in each cluster all pairs between components are confirmed on
+full sets, which go there once.
 
 *Recall.* Two sets of similarity 0.75 share a picked token of one tree and level
 with probability 0.78, so one level misses a pair with 3e-7; a pair that must
 survive three levels is missed with 3e-5. A sketch rejects a true pair with 3e-5.
 
-*Components* are the least labels over confirmed links, by label propagation with
-pointer jumping on tables in the shared folder; nothing is collected to the driver
-but counts. Null text: no words. Documents without an id link like any other, never
+*Components* are the least labels over confirmed links: in one task where a count
+shows that the links are few, else by label propagation with pointer jumping on
+tables in the shared folder. Nothing is collected to the driver but counts. Null text: no words. Documents without an id link like any other, never
 give a component its id, and are not kept.
 """
 
@@ -34,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlake.llm.common import LOWER, batches, bounded_batches, materialise, sized
+from revlake.llm.common import BROADCAST_ROWS, LOWER, batches, bounded_batches, materialise, sized
 
 WIDTH = 5
 THRESHOLD = 75
@@ -46,8 +48,12 @@ COORDINATES = 64
 LEAST_EQUAL = 33
 TREES = 10
 BRANCHES = 2.0
+#: Pairs between components that one node may compare exhaustively, and classes of a block.
+CROSS = 1_000_000
 SMALL = 400
 DEPTH = 5
+#: Nodes above this size are compared with a central class, found from a sample of so many.
+CENTRAL, SAMPLE = 8, 64
 
 _rng = np.random.default_rng(20_011)
 _LETTER = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,16 +204,46 @@ def _confirm_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _exhaust_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between components in every small node, or across two blocks of a large one
-    (side: the block of a row, -1 where pairs within count). Rows come sorted by node."""
+    """Classes that sketches allow to be linked, between components in every small node or
+    across two blocks of a large one (side: the block of a row, -1 where pairs within
+    count), each with the least one that such pairs lead to: a row for each class at
+    most, not for each pair. Rows come sorted by node."""
     names = ("path", "x", "y", "cid", "comp", "n", "side")
 
-    def pairs(c: dict[str, np.ndarray], sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def similar(c: dict[str, np.ndarray], sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        ok = _similar(sig[i], sig[j], c["n"][i], c["n"][j])
+        if ok.any():
+            edges.append((c["cid"][i[ok]], c["cid"][j[ok]]))
+            if sum(len(a) for a, _ in edges) > 500_000:
+                edges[:] = [spanning()]
+
+    def spanning() -> tuple[np.ndarray, np.ndarray]:
+        """What the pairs so far connect, as one pair for each class but the least."""
+        ends, least = least_labels(*(np.concatenate(x) for x in zip(*edges)))
+        far = ends != least
+        return least[far], ends[far]
+
+    def across(c: dict[str, np.ndarray], sig: np.ndarray, rows: np.ndarray) -> None:
+        """Each component of a large node (rows in order of component) with those after it."""
+        comp = c["comp"][rows]
+        ends = np.flatnonzero(np.diff(comp)) + 1
+        for lo, hi in zip([0, *ends.tolist()], ends.tolist()):
+            rest = rows[hi:]
+            step = max(1, 200_000 // len(rest))
+            for at in range(lo, hi, step):
+                own = rows[at : min(hi, at + step)]
+                similar(c, sig, np.repeat(own, len(rest)), np.tile(rest, len(own)))
+
+    def pairs(c: dict[str, np.ndarray], sig: np.ndarray) -> None:
         new = np.ones(len(c["path"]), bool)
         new[1:] = (c["path"][1:] != c["path"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.concatenate([starts, [len(new)]]))
-        for m in np.unique(sizes[sizes > 1]).tolist():
+        for lo, m in zip(starts[sizes > 2 * SMALL].tolist(), sizes[sizes > 2 * SMALL].tolist()):
+            across(c, sig, lo + np.argsort(c["comp"][lo : lo + m], kind="stable"))
+        for m in np.unique(sizes[(sizes > 1) & (sizes <= 2 * SMALL)]).tolist():
             left, right = np.triu_indices(m, 1)
             own = starts[sizes == m]
             step = max(1, 200_000 // len(left))
@@ -215,12 +251,7 @@ def _exhaust_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i = (own[lo : lo + step, None] + left).reshape(-1)
                 j = (own[lo : lo + step, None] + right).reshape(-1)
                 use = (c["comp"][i] != c["comp"][j]) & ((c["side"][i] != c["side"][j]) | (c["side"][i] < 0))
-                i, j = i[use], j[use]
-                if len(i):
-                    ok = _similar(sig[i], sig[j], c["n"][i], c["n"][j])
-                    a, b = c["cid"][i[ok]], c["cid"][j[ok]]
-                    if len(a):
-                        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                similar(c, sig, i[use], j[use])
 
     held, kept = None, None
     for batch in it:
@@ -233,10 +264,93 @@ def _exhaust_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last node may go on in the next batch.
         last = (c["path"] == c["path"][-1]) & (c["x"] == c["x"][-1]) & (c["y"] == c["y"][-1])
         cut = int(np.flatnonzero(last)[0]) if last.any() else len(last)
-        yield from pairs({k: v[:cut] for k, v in c.items()}, sig[:cut])
+        pairs({k: v[:cut] for k, v in c.items()}, sig[:cut])
         held, kept = {k: v[cut:] for k, v in c.items()}, sig[cut:]
     if held is not None:
-        yield from pairs(held, kept)
+        pairs(held, kept)
+    if edges:
+        a, b = spanning()
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+
+
+def _verify_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components, on full sets, in every cluster or across two of its
+    blocks. For each set in turn, its members are marked and all others counted at once."""
+    names = ("cluster", "x", "y", "cid", "comp", "side")
+
+    def links(c: dict[str, np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(sets) < 2:
+            return
+        sizes = np.array([len(s) for s in sets])
+        every, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mark = np.zeros(len(every), np.int32)
+        found_a, found_b = [], []
+        for i in range(len(sets)):
+            own = numbers[starts[i] : starts[i] + sizes[i]]
+            later = (np.arange(len(sets)) > i) & (c["comp"] != c["comp"][i]) & ((c["side"] != c["side"][i]) | (c["side"] < 0))
+            if not later.any():
+                continue
+            mark[own] = 1
+            both = np.add.reduceat(mark[numbers], starts)
+            mark[own] = 0
+            hit = np.flatnonzero(later & (100 * both >= THRESHOLD * (sizes + sizes[i] - both)))
+            found_a += [int(c["cid"][i])] * len(hit)
+            found_b += c["cid"][hit].tolist()
+        if found_a:
+            ends, least = least_labels(np.array(found_a), np.array(found_b))
+            far = ends != least
+            yield pa.RecordBatch.from_pydict({"a": pa.array(least[far]), "b": pa.array(ends[far])})
+
+    held: dict[str, np.ndarray] = {k: np.zeros(0, np.int64) for k in names}
+    kept: list[np.ndarray] = []
+    for batch in it:
+        c = {k: batch.column(k).to_numpy().astype(np.int64) for k in names}
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
+        cuts = [0, *(np.flatnonzero((np.diff(c["cluster"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)) + 1).tolist(), len(sets)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if len(kept) and any(held[k][0] != c[k][lo] for k in names[:3]):
+                yield from links(held, kept)
+                held, kept = {k: np.zeros(0, np.int64) for k in names}, []
+            held = {k: np.concatenate([held[k], c[k][lo:hi]]) for k in names}
+            kept = kept + sets[lo:hi]
+    yield from links(held, kept)
+
+
+def _mode_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent byte of each coordinate over the sampled classes of a node."""
+    for batch in it:
+        modes = []
+        for sample in batch.column("sample").to_pylist():
+            x = np.frombuffer(b"".join(sample), np.uint8).reshape(-1, COORDINATES).astype(np.int64)
+            counts = np.bincount((x + 256 * np.arange(COORDINATES)).reshape(-1), minlength=256 * COORDINATES)
+            modes.append(counts.reshape(COORDINATES, 256).argmax(axis=1).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "mode": pa.array(modes, pa.binary())})
+
+
+def _match_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        if batch.num_rows:
+            same = (_signatures(batch.column("sig")) == _signatures(batch.column("mode"))).sum(axis=1)
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "cid": batch.column("cid"), "same": pa.array(same.astype(np.int32))})
+
+
+def _stars(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every class of a node with the node's pivot: the least class of a
+    small node; in others the class nearest to the coordinates' most frequent values, as
+    edited copies of one text meet in that text, not in each other. The choice has no
+    part in what is found in the end, only in how many comparisons it takes."""
+    sig = seen.select("cid", "sig")
+    some = rows.filter(F.col("size") > CENTRAL).select("path", "cid")
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("cid")))
+    sampled = some.withColumn("r", rank).filter(F.col("r") <= SAMPLE).join(sig, "cid")
+    modes = sampled.groupBy("path").agg(F.collect_list("sig").alias("sample")).mapInArrow(_mode_stage, "path long, mode binary")
+    matched = some.join(modes, "path").join(sig, "cid").select("path", "cid", "sig", "mode").mapInArrow(_match_stage, "path long, cid long, same int")
+    central = matched.groupBy("path").agg(F.max_by("cid", F.struct("same", "cid")).alias("central"))
+    star = rows.join(central, "path", "left").select("cid", F.coalesce("central", "pivot").alias("pivot")).filter("cid <> pivot")
+    return star.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -245,8 +359,39 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.join(nodes, "path")
 
 
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of links in order, and for each the least end that can be reached."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ends))
+    while True:
+        near = label.copy()
+        np.minimum.at(near, x, label[y])
+        np.minimum.at(near, y, label[x])
+        np.minimum.at(near, label, near.copy())  # what one end finds holds for its label
+        near = near[near]
+        if (near == label).all():
+            return ends, ends[label]
+        label = near
+
+
+def _components_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in it]
+    if rows:
+        cid, comp = least_labels(*(np.concatenate(c) for c in zip(*rows)))
+        yield pa.RecordBatch.from_pydict({"cid": pa.array(cid), "comp": pa.array(comp)})
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(cid, comp) for the ends of ``links`` (a, b): the least name that can be reached."""
+    """(cid, comp) for the ends of ``links`` (a, b): the least name that can be reached.
+    Up to a checked count of links one task does it, beyond that label propagation."""
+    if links.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return materialise(links.select("a", "b").coalesce(1).mapInArrow(_components_stage, "cid long, comp long"))
+    return propagated(links)
+
+
+def propagated(links: DataFrame) -> DataFrame:
+    """``components`` by tables: least neighbour, then the label of the label."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both)
     labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "cid"))
@@ -277,37 +422,63 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     met = classes.select("cid", "rep", "n", "sketch").join(rows.select("cid").distinct(), "cid", "left_semi")
     seen = materialise(met.mapInArrow(_signature_stage, "cid long, rep long, n long, sketch binary, sig binary"))
 
+    def full_sets(ends: DataFrame) -> DataFrame:
+        """(cid, members) of the classes named in ``ends``, from their texts."""
+        ids = materialise(seen.select("cid", "rep").join(ends, "cid"))
+        sets = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text").mapInArrow(_sets_stage, "cid long, members binary")
+        sets = sets.filter(F.length("members") > 0)
+        if repeated:  # such an id may stand for other texts; only the class's own is its set
+            named = F.udf(lambda b: class_of(np.frombuffer(b, np.uint64)), "long")
+            sets = sets.filter(named("members") == F.col("cid")).dropDuplicates(["cid"])
+        return materialise(sets)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are links, confirmed on the full sets."""
         pairs = pairs.select("a", "b").distinct()
         of = lambda s: seen.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
         allowed = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_allow_stage, "a long, b long"))
-        ends = allowed.select(F.col("a").alias("cid")).union(allowed.select("b")).distinct()
-        ids = materialise(seen.select("cid", "rep").join(ends, "cid"))
-        # A repeated or missing id may stand for other texts; only the class's own is its set.
-        sets = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text").mapInArrow(_sets_stage, "cid long, members binary")
-        sets = materialise(sets.filter(F.length("members") > 0))
-        named = F.udf(lambda b: class_of(np.frombuffer(b, np.uint64)), "long")
-        repeated = small.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-        if repeated:
-            sets = materialise(sets.filter(named("members") == F.col("cid")).dropDuplicates(["cid"]))
+        sets = full_sets(allowed.select(F.col("a").alias("cid")).union(allowed.select("b")).distinct())
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
         full = lambda s: sets.select(F.col("cid").alias(s), F.col("members").alias(f"members_{s}"))
         out = materialise(allowed.join(full("a"), "a").join(full("b"), "b").select("a", "b", "members_a", "members_b").mapInArrow(_confirm_stage, "a long, b long"))
         bounded_batches(spark)
         return out
 
+    def verified(spanning: DataFrame) -> DataFrame:
+        """Links between components in the clusters that ``spanning`` (a, b) connects.
+        Every set goes once to its cluster, or to each pair of blocks of a large one."""
+        clusters = components(spanning.distinct()).withColumnRenamed("comp", "cluster")
+        sets = full_sets(clusters.select("cid"))
+        sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(SMALL)).cast("int").alias("blocks"))
+        rows = clusters.join(sizes, "cluster").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("cluster", "cid", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
+        # A block against itself has one row for each class, and so pairs within (side -1).
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+        dealt = rows.join(sets, "cid").select("cluster", "x", "y", "cid", "comp", "side", "members").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+        out = materialise(dealt.mapInArrow(_verify_stage, "a long, b long"))
+        bounded_batches(spark)
+        return out
+
+    repeated = small.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     links, waiting, comps = None, [], None
     for depth in range(DEPTH):
-        star = rows.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
+        star = _stars(rows, seen)
+        if comps is not None:  # what is connected already needs no comparison
+            of = lambda s: comps.select(F.col("cid").alias(s), F.col("comp").alias(f"comp_{s}"))
+            star = star.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
         new = confirmed(star)
-        links = new if links is None else links.union(new)
-        comps = components(links)
-        labelled = rows.join(comps, "cid", "left").select("path", "cid", "size", F.coalesce("comp", "cid").alias("comp"))
-        mixed = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("path")
-        active = materialise(rows.select("path", "cid", "size").join(mixed, "path", "left_semi"))
-        waiting.append(active.filter(F.col("size") <= SMALL).select("path", "cid"))
-        large = active.filter(F.col("size") > SMALL)
+        if links is None or new.limit(1).count():
+            links = new if links is None else links.union(new)
+            comps = components(links)
+        labelled = rows.join(comps, "cid", "left").select("path", "cid", F.coalesce("comp", "cid").alias("comp"))
+        parts = labelled.groupBy("path", "comp").agg(F.count("*").cast("double").alias("n")).groupBy("path")
+        mixed = parts.agg(F.count("*").alias("k"), F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q")).filter("k > 1")
+        mixed = mixed.select("path", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("across"))
+        active = materialise(rows.select("path", "cid", "size").join(mixed, "path"))
+        waiting.append(active.filter(F.col("across") <= CROSS).select("path", "cid"))
+        large = active.filter(F.col("across") > CROSS)
         if depth == DEPTH - 1 or not large.limit(1).count():
             break
         branched = large.select("path", "cid").join(seen.select("cid", "sketch"), "cid").select("path", "cid", "sketch")
@@ -323,10 +494,10 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     cut = large.select("path", "cid", blocks.alias("blocks"), own.alias("own")).select("path", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     groups = groups.union(cut.select("path", "cid", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
     # Within a block all pairs count (side -1), between two blocks only those across.
-    # A group has at most 2 * SMALL rows or so, thus dealing by its name is even.
+    # What a group compares is bounded by CROSS or by its blocks.
     dealt = groups.join(info, "cid").repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
     pairs = dealt.mapInArrow(_exhaust_stage, "a long, b long")
-    last = confirmed(pairs)
+    last = verified(materialise(pairs))
     comps = components(links.union(last))
 
     least = comps.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component"))

@@ -235,9 +235,11 @@ def test_near_duplicates_equal_brute_force(spark, clashing, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_near_duplicate_families_and_large_nodes(spark, monkeypatch):
+@pytest.mark.parametrize("cross", [6, 10**6])
+def test_near_duplicate_families_and_large_nodes(spark, monkeypatch, cross):
     # Chains of edits around one text, with nodes above SMALL so that branching and blocks are used.
     monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "CROSS", cross)
     monkeypatch.setattr(neardup, "DEPTH", 2)
     rng = np.random.default_rng(3)
     rows = []
@@ -252,6 +254,27 @@ def test_near_duplicate_families_and_large_nodes(spark, monkeypatch):
     assert out == {i: c for i, _, c in brute_components(rows)}
 
 
+def test_components_both_ways(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    a, b = np.concatenate([a, np.arange(500, 560)]), np.concatenate([b, np.arange(501, 561)])  # and a long chain
+    ends, comp = neardup.least_labels(a, b)
+    parent = {int(x): int(x) for x in ends}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        parent[max(find(x), find(y))] = min(find(x), find(y))
+    expected = {x: find(x) for x in parent}
+    assert dict(zip(ends.tolist(), comp.tolist())) == expected
+    links = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
+    for f in (neardup.components, neardup.propagated):
+        assert {r.cid: r.comp for r in f(links).collect()} == expected
+
+
 # op8
 def brute_spans(text):
     out = []
