@@ -3,9 +3,9 @@
 A text becomes its words (runs of ASCII letters, digits and non-ASCII characters,
 lower-cased) between single spaces. *Base*: the places of three phrases. *Rules*:
 every license of ``LICENSES`` gives one regular expression for each phrasing of
-``PHRASINGS``, some 400 in all, each with a priority, a confidence and the keyword
-that gates it. A text without any gate word is not looked at further; of the
-others, only rules whose keyword occurs are tried. Rules apply in order of
+``PHRASINGS``, some 400 in all, each with a priority, a confidence and keywords of
+which every match contains one. A text without any gate word is not looked at
+further; of the others, only rules with a keyword that occurs are tried. Rules apply in order of
 priority, and what a rule matches is taken out of the text, so a detection that
 lies within one of higher priority is suppressed and intervals never overlap.
 
@@ -17,61 +17,63 @@ Null text has no words; ties and repeated rows are scanned alike; ids may be nul
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The base phrases and their labels, in label order.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, keyword, expression of the name, expression of the identifier.
+#: Label, expression of the name, expression of the identifier.
 LICENSES = (
-    ("0bsd", "bsd", "(?:zero clause bsd|0bsd)", "0bsd"),
-    ("afl-3.0", "academic", "academic free license(?: version| v)? ?3 0", "afl 3 0"),
-    ("agpl-3.0", "affero", "(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
-    ("apache-1.1", "apache", "apache(?: software)? license(?: version)? 1 1", "apache 1 1"),
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
-    ("artistic-2.0", "artistic", "artistic license(?: version)? ?2 0", "artistic 2 0"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
-    ("bsl-1.0", "boost", "boost software license(?: version)? ?1 0", "bsl 1 0"),
-    ("busl-1.1", "business", "business source license(?: version)? ?1 1", "busl 1 1"),
-    ("cc-by-nc-nd", "cc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "cc by nc nd [1-4] [05]"),
-    ("cc-by-nc-sa", "cc", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "cc by nc sa [1-4] [05]"),
-    ("cc-by-nc", "cc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", "cc by nc [1-4] [05]"),
-    ("cc-by-nd", "cc", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "cc by nd [1-4] [05]"),
-    ("cc-by-sa", "cc", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "cc by sa [1-4] [05]"),
-    ("cc-by", "cc", "(?:cc by|creative commons attribution)(?: [1-4] [05])?", "cc by [1-4] [05]"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    ("cddl-1.0", "development", "common development and distribution license(?: version)?(?: 1 [01])?", "cddl 1 [01]"),
-    ("cecill-2.1", "cecill", "cecill(?: free software)?(?: license)?(?: agreement)?(?: 2 [01])?", "cecill 2 1"),
-    ("cpl-1.0", "common", "common public license(?: version)?(?: 1 0)?", "cpl 1 0"),
-    ("ecl-2.0", "educational", "educational community license(?: version)?(?: 2 0)?", "ecl 2 0"),
-    ("epl-1.0", "eclipse", "eclipse public license(?: version| v)? ?1(?: 0)?", "epl 1 0"),
-    ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? ?2(?: 0)?", "epl 2 0"),
-    ("eupl-1.2", "european", "european union public licen[cs]e(?: version)?(?: 1 2)?", "eupl 1 2"),
-    ("gfdl-1.3", "documentation", "(?:gnu )?free documentation license(?: version)?(?: 1 3)?", "gfdl 1 3(?: only| or later)?"),
-    ("gpl-2.0", "general", "(?:gnu )?general public license(?: version| v)? ?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "general", "(?:gnu )?general public license(?: version| v)? ?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("isc", "isc", "isc", "isc"),
-    ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public license(?: version| v)? ?2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lppl-1.3c", "latex", "latex project public license(?: version)?(?: 1 3c?)?", "lppl 1 3c"),
-    ("mit", "mit", "mit(?: x11)?", "mit"),
-    ("mit-0", "mit", "mit no attribution", "mit 0"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version)? 1 1", "mpl 1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public license(?: version)?(?: 2 0)?", "mpl 2 0"),
-    ("ms-pl", "microsoft", "microsoft public license", "ms pl"),
-    ("ncsa", "illinois", "university of illinois(?: ncsa)?(?: open source)?", "ncsa"),
-    ("odbl-1.0", "database", "open database license(?: version)?(?: 1 0)?", "odbl 1 0"),
-    ("ofl-1.1", "font", "sil open font license(?: version)?(?: 1 1)?", "ofl 1 1"),
-    ("osl-3.0", "open", "open software license(?: version| v)? ?3 0", "osl 3 0"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("psf-2.0", "python", "python software foundation(?: license)?(?: version)?(?: 2)?", "psf 2 0"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("upl-1.0", "universal", "universal permissive license(?: version| v)?(?: 1 0)?", "upl 1 0"),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
+    ("0bsd", "(?:zero clause bsd|0bsd)", "0bsd"),
+    ("afl-3.0", "academic free license(?: version| v)? ?3 0", "afl 3 0"),
+    ("agpl-3.0", "(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
+    ("apache-1.1", "apache(?: software)? license(?: version)? 1 1", "apache 1 1"),
+    ("apache-2.0", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
+    ("artistic-2.0", "artistic license(?: version)? ?2 0", "artistic 2 0"),
+    ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)", "bsd 2 clause"),
+    ("bsd-3-clause", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause"),
+    ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
+    ("bsl-1.0", "boost software license(?: version)? ?1 0", "bsl 1 0"),
+    ("busl-1.1", "business source license(?: version)? ?1 1", "busl 1 1"),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "cc by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "cc by nc sa [1-4] [05]"),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", "cc by nc [1-4] [05]"),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "cc by nd [1-4] [05]"),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "cc by sa [1-4] [05]"),
+    ("cc-by", "(?:cc by|creative commons attribution)(?: [1-4] [05])?", "cc by [1-4] [05]"),
+    ("cc0-1.0", "cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
+    ("cddl-1.0", "common development and distribution license(?: version)?(?: 1 [01])?", "cddl 1 [01]"),
+    ("cecill-2.1", "cecill(?: free software)?(?: license)?(?: agreement)?(?: 2 [01])?", "cecill 2 1"),
+    ("cpl-1.0", "common public license(?: version)?(?: 1 0)?", "cpl 1 0"),
+    ("ecl-2.0", "educational community license(?: version)?(?: 2 0)?", "ecl 2 0"),
+    ("epl-1.0", "eclipse public license(?: version| v)? ?1(?: 0)?", "epl 1 0"),
+    ("epl-2.0", "eclipse public license(?: version| v)? ?2(?: 0)?", "epl 2 0"),
+    ("eupl-1.2", "european union public licen[cs]e(?: version)?(?: 1 2)?", "eupl 1 2"),
+    ("gfdl-1.3", "(?:gnu )?free documentation license(?: version)?(?: 1 3)?", "gfdl 1 3(?: only| or later)?"),
+    ("gpl-2.0", "(?:gnu )?general public license(?: version| v)? ?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
+    ("gpl-3.0", "(?:gnu )?general public license(?: version| v)? ?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
+    ("isc", "isc", "isc"),
+    ("lgpl-2.1", "(?:gnu )?lesser general public license(?: version| v)? ?2 1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3.0", "(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
+    ("lppl-1.3c", "latex project public license(?: version)?(?: 1 3c?)?", "lppl 1 3c"),
+    ("mit", "mit(?: x11)?", "mit"),
+    ("mit-0", "mit no attribution", "mit 0"),
+    ("mpl-1.1", "mozilla public license(?: version)? 1 1", "mpl 1 1"),
+    ("mpl-2.0", "mozilla public license(?: version)?(?: 2 0)?", "mpl 2 0"),
+    ("ms-pl", "microsoft public license", "ms pl"),
+    ("ncsa", "university of illinois(?: ncsa)?(?: open source)?", "ncsa"),
+    ("odbl-1.0", "open database license(?: version)?(?: 1 0)?", "odbl 1 0"),
+    ("ofl-1.1", "sil open font license(?: version)?(?: 1 1)?", "ofl 1 1"),
+    ("osl-3.0", "open software license(?: version| v)? ?3 0", "osl 3 0"),
+    ("postgresql", "postgresql", "postgresql"),
+    ("psf-2.0", "python software foundation(?: license)?(?: version)?(?: 2)?", "psf 2 0"),
+    ("unlicense", "unlicense", "unlicense"),
+    ("upl-1.0", "universal permissive license(?: version| v)?(?: 1 0)?", "upl 1 0"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("zlib", "zlib(?: libpng)?", "zlib"),
 )
 #: Phrasing around NAME or ID, priority and confidence.
 PHRASINGS = (
@@ -87,32 +89,52 @@ PHRASINGS = (
 )
 #: Rules without a license's name.
 GENERAL = (
-    ("all-rights-reserved", "reserved", "all rights reserved", 40, 0.6),
-    ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 38, 0.4),
-    ("copyright", "copyright", "(?:c )?copyright (?:by|notice|holder|holders|owner)", 36, 0.3),
-    ("public-domain", "domain", "(?:dedicated to|released into|placed in|is in) the public domain", 66, 0.8),
-    ("proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential|proprietary licen[cs]e)", 64, 0.7),
-    ("no-redistribution", "redistribution", "redistribution (?:is )?(?:prohibited|not permitted|forbidden)", 62, 0.7),
-    ("gpl", "general", "(?:gnu )?general public licen[cs]e", 34, 0.8),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e", 46, 0.8),
-    ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e", 46, 0.8),
-    ("apache", "apache", "apache licen[cs]e", 34, 0.7),
-    ("creative-commons", "commons", "creative commons", 30, 0.5),
-    ("cc-by", "cc", "cc by", 30, 0.6),
+    ("all-rights-reserved", "all rights reserved", 40, 0.6),
+    ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 38, 0.4),
+    ("copyright", "(?:c )?copyright (?:by|notice|holder|holders|owner)", 36, 0.3),
+    ("public-domain", "(?:dedicated to|released into|placed in|is in) the public domain", 66, 0.8),
+    ("proprietary", "(?:confidential and proprietary|proprietary and confidential|proprietary licen[cs]e)", 64, 0.7),
+    ("no-redistribution", "redistribution (?:is )?(?:prohibited|not permitted|forbidden)", 62, 0.7),
+    ("gpl", "(?:gnu )?general public licen[cs]e", 34, 0.8),
+    ("lgpl", "(?:gnu )?lesser general public licen[cs]e", 46, 0.8),
+    ("agpl", "(?:gnu )?affero general public licen[cs]e", 46, 0.8),
+    ("apache", "apache licen[cs]e", 34, 0.7),
+    ("creative-commons", "creative commons", 30, 0.5),
+    ("cc-by", "cc by", 30, 0.6),
 )
 #: A text without any of these is not scanned by rules.
 GATES = ("licen", "copyright", "reserved", "cc by", "creative commons", "public domain", "proprietary", "redistribution", "spdx", "cc0")
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def rules() -> list[tuple[str, str, str, float]]:
-    """(label, keyword, expression, confidence) in the order of application."""
-    out = [(p, label, key, f"(?<= ){e}(?= )", c) for label, key, e, p, c in GENERAL]
-    for label, key, name, ident in LICENSES:
+#: Where the texts of an expression may differ.
+GAP = "\t"
+
+
+def _texts(e: str) -> list[str]:
+    """What every match of ``e`` reads, one for each branch, with GAP for optional parts and classes."""
+    flat = re.sub(r"\(\?:[^()]*\)\?", GAP, e)
+    while flat != e:
+        e, flat = flat, re.sub(r"\(\?:[^()]*\)\?", GAP, flat)
+    e = re.sub(r"\[[^]]*\](?:\{\d+\})?\??|[^()]\?", GAP, e)
+    m = re.search(r"\(\?:([^()]*)\)", e)
+    return [x for branch in m[1].split("|") for x in _texts(e[: m.start()] + branch + e[m.end() :])] if m else [e]
+
+
+def keywords(e: str) -> set[str]:
+    """Strings of which every match of ``e`` between spaces contains one: the longest literal of each branch."""
+    return {max(f" {x} ".split(GAP), key=len) for x in _texts(e)}
+
+
+def rules() -> list[tuple[str, list[str], str, float]]:
+    """(label, keywords, expression, confidence) in the order of application."""
+    out = [(p, label, sorted(keywords(e)), f"(?<= ){e}(?= )", c) for label, e, p, c in GENERAL]
+    for label, name, ident in LICENSES:
         for phrase, p, c in PHRASINGS:
-            out.append((p, label, key, "(?<= )" + phrase.replace("NAME", name).replace("ID", ident) + "(?= )", c))
-        if "licen" in name or key in ("cc", "cc0"):  # such names stand for a license by themselves
-            out.append((48, label, key, f"(?<= ){name}(?= )", 0.6))
+            keys = sorted((keywords(name) if "NAME" in phrase else set()) | (keywords(ident) if "ID" in phrase else set()))
+            out.append((p, label, keys, "(?<= )" + phrase.replace("NAME", name).replace("ID", ident) + "(?= )", c))
+        if "licen" in name or label.startswith("cc"):  # such names stand for a license by themselves
+            out.append((48, label, sorted(keywords(name)), f"(?<= ){name}(?= )", 0.6))
     # Of equal priority, the longer expression comes first: it names more.
     return [r[1:] for r in sorted(out, key=lambda r: (-r[0], -len(r[3]), r[1]))]
 
@@ -146,7 +168,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         last = F.col("n_words") - (_spaces(F.substring(back, F.lit(1), F.instr(back, f" {phrase[::-1]} "))) - 1) - n
         w = w.withColumns({f"n{k}": F.when(has, count.cast("long")).otherwise(F.lit(0).cast("long")), f"first{k}": F.when(has, first.cast("long")), f"last{k}": F.when(has, last.cast("long"))})
 
-    every = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(e).alias("e"), F.lit(c).alias("c")) for label, key, e, c in rules()])
+    ordered = rules()
+    present = F.filter(F.array(*map(F.lit, sorted({k for _, keys, _, _ in ordered for k in keys}))), lambda k: F.contains(t, k))
+    w = w.withColumn("present", F.when(F.col("gated"), present))
+    every = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, keys)).alias("keys"), F.lit(e).alias("e"), F.lit(c).alias("c")) for label, keys, e, c in ordered])
     found = "array<struct<label:string,places:int,confidence:double>>"
     start = F.struct(t.alias("t"), F.array().cast(found).alias("found"))
 
@@ -154,7 +179,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         hit = F.struct(r["label"].alias("label"), F.regexp_count(state["t"], r["e"]).alias("places"), r["c"].alias("confidence"))
         return F.when(F.rlike(state["t"], r["e"]), F.struct(F.regexp_replace(state["t"], r["e"], F.lit("|")).alias("t"), F.concat(state["found"], F.array(hit)).cast(found).alias("found"))).otherwise(state)
 
-    detected = F.aggregate(F.filter(every, lambda r: F.contains(t, r["key"])), start, apply, lambda s: s["found"])
+    detected = F.aggregate(F.filter(every, lambda r: F.arrays_overlap(r["keys"], "present")), start, apply, lambda s: s["found"])
     w = w.withColumn("detections", F.when(F.col("gated"), detected).otherwise(F.array().cast(found)))
     base = F.array_compact(F.array(*[F.when(F.col(f"has{k}"), F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     three = range(len(BASE))

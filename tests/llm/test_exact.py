@@ -338,6 +338,51 @@ def test_licenses_equal_brute_force(clashing, none):
     assert len(licenses.rules()) > 300 and licenses.scan_licenses(none).count() == 0
 
 
+def samples(parsed, full):
+    """Texts of a parsed expression: one for each choice of branches, optional parts all there or all left out."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in samples(branch, full)]
+        elif name == "SUBPATTERN":
+            more = samples(arg[3], full)
+        elif name == "MAX_REPEAT":
+            low, high, inner = arg
+            more = [x * (high if full else low) for x in samples(inner, full)] if full or low else [""]
+        else:  # what stands around
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def alone():
+    """(label, text) for every rule and branch, of nothing but what the rule matches."""
+    return sorted({(label, x.strip()) for label, _, e, _ in licenses.rules() for full in (False, True) for x in samples(re._parser.parse(e), full)})
+
+
+def test_every_license_rule_fires_on_its_own_text(spark):
+    for label, keys, e, _ in licenses.rules():
+        for full in (False, True):
+            for x in samples(re._parser.parse(e), full):
+                assert re.search(e, f" {x.strip()} ") and any(k in f" {x.strip()} " for k in keys), (label, x)
+    own = [(label, x) for label, x in alone() if re.search("licen|cc by|spdx|copyright|reserved|public domain|creative commons|proprietary|redistribution|cc0", x)]
+    out = by_id(licenses.scan_licenses(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(own)], "doc_id long, text string")))
+    # The name of mpl-2.0 may lack its number, and its rules come before those of mpl-1.1.
+    missed = [own[k] for k, r in out.items() if own[k][0] not in r.labels.split(",") and not (own[k][0] == "mpl-1.1" and "mpl-2.0" in r.labels)]
+    assert not missed, (len(missed), len(own), missed[:20])
+
+
+def test_license_identifiers_and_names(spark):
+    texts = ["SPDX-License-Identifier: GPL-3.0-or-later", "// SPDX-License-Identifier: MPL-2.0", "licensed under Creative Commons Attribution 4.0", "https://opensource.org/licenses/EPL-2.0"]
+    out = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [out[k].labels for k in range(4)] == ["gpl-3.0", "mpl-2.0", "cc-by", "epl-2.0"] and min(r.score for r in out.values()) >= 0.9
+
+
 def bench(spark):
     return spark.createDataFrame([(1, BENCH), (22, OTHER), (3, "word40 word41"), (4, None), (5, ""), (None, BENCH)], "item_id long, text string")
 
