@@ -4,8 +4,8 @@ A text becomes its words (runs of ASCII letters, digits and non-ASCII characters
 lower-cased) between single spaces. *Base*: the places of three phrases. *Rules*:
 every license of ``LICENSES`` gives one regular expression for each phrasing of
 ``PHRASINGS``, some 400 in all, each with a priority, a confidence and keywords of
-which every match contains one. A text without any gate word is not looked at
-further; of the others, only rules with a keyword that occurs are tried. Rules apply in order of
+which every match contains one. Only rules with a keyword that occurs in the text
+are tried, so a text without any keyword is not looked at further. Rules apply in order of
 priority, and what a rule matches is taken out of the text, so a detection that
 lies within one of higher priority is suppressed and intervals never overlap.
 
@@ -102,8 +102,6 @@ GENERAL = (
     ("creative-commons", "creative commons", 30, 0.5),
     ("cc-by", "cc by", 30, 0.6),
 )
-#: A text without any of these is not scanned by rules.
-GATES = ("licen", "copyright", "reserved", "cc by", "creative commons", "public domain", "proprietary", "redistribution", "spdx", "cc0")
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -154,10 +152,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     columns = [F.col("doc_id"), t, (_spaces(t) - 1).cast("long").alias("n_words")]
     for k, (phrase, _) in enumerate(BASE):
         columns.append(F.contains(t, F.lit(f" {phrase} ")).alias(f"has{k}"))
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(t, F.lit(g))
-    w = w.select(*columns, gate.alias("gated"))
+    ordered = rules()
+    present = F.filter(F.array(*map(F.lit, sorted({k for _, keys, _, _ in ordered for k in keys}))), lambda k: F.contains(t, k))
+    w = w.select(*columns, present.alias("present"))
     for k, (phrase, _) in enumerate(BASE):
         n, wide = len(phrase.split()), F.replace(t, F.lit(" "), F.lit("  "))
         mark = " " + phrase.replace(" ", "  ") + " "
@@ -168,9 +165,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         last = F.col("n_words") - (_spaces(F.substring(back, F.lit(1), F.instr(back, f" {phrase[::-1]} "))) - 1) - n
         w = w.withColumns({f"n{k}": F.when(has, count.cast("long")).otherwise(F.lit(0).cast("long")), f"first{k}": F.when(has, first.cast("long")), f"last{k}": F.when(has, last.cast("long"))})
 
-    ordered = rules()
-    present = F.filter(F.array(*map(F.lit, sorted({k for _, keys, _, _ in ordered for k in keys}))), lambda k: F.contains(t, k))
-    w = w.withColumn("present", F.when(F.col("gated"), present))
     every = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, keys)).alias("keys"), F.lit(e).alias("e"), F.lit(c).alias("c")) for label, keys, e, c in ordered])
     found = "array<struct<label:string,places:int,confidence:double>>"
     start = F.struct(t.alias("t"), F.array().cast(found).alias("found"))
@@ -180,7 +174,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         return F.when(F.rlike(state["t"], r["e"]), F.struct(F.regexp_replace(state["t"], r["e"], F.lit("|")).alias("t"), F.concat(state["found"], F.array(hit)).cast(found).alias("found"))).otherwise(state)
 
     detected = F.aggregate(F.filter(every, lambda r: F.arrays_overlap(r["keys"], "present")), start, apply, lambda s: s["found"])
-    w = w.withColumn("detections", F.when(F.col("gated"), detected).otherwise(F.array().cast(found)))
+    w = w.withColumn("detections", F.when(F.size("present") > 0, detected).otherwise(F.array().cast(found)))
     base = F.array_compact(F.array(*[F.when(F.col(f"has{k}"), F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     three = range(len(BASE))
     return w.select(

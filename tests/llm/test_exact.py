@@ -370,13 +370,19 @@ def test_every_license_rule_fires_on_its_own_text(spark):
         for full in (False, True):
             for x in samples(re._parser.parse(e), full):
                 assert re.search(e, f" {x.strip()} ") and any(k in f" {x.strip()} " for k in keys), (label, x)
-    own = [(label, x) for label, x in alone() if re.search("licen|cc by|spdx|copyright|reserved|public domain|creative commons|proprietary|redistribution|cc0", x)]
+    own = alone()
     out = by_id(licenses.scan_licenses(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(own)], "doc_id long, text string")))
     # The name of mpl-2.0 may lack its number, and its rules come before those of mpl-1.1.
     missed = [own[k] for k, r in out.items() if own[k][0] not in r.labels.split(",") and not (own[k][0] == "mpl-1.1" and "mpl-2.0" in r.labels)]
     assert not missed, (len(missed), len(own), missed[:20])
 
 
+def test_licenses_need_no_other_word(spark):
+    texts = ["Released under the MIT.", "Distributed under the 3-clause BSD", "available under Apache 2.0", "governed by the ISC"]
+    out = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [out[k].labels for k in range(4)] == ["mit", "bsd-3-clause", "apache-2.0", "isc"]
+
+
 def test_license_identifiers_and_names(spark):
     texts = ["SPDX-License-Identifier: GPL-3.0-or-later", "// SPDX-License-Identifier: MPL-2.0", "licensed under Creative Commons Attribution 4.0", "https://opensource.org/licenses/EPL-2.0"]
     out = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
