@@ -11,10 +11,12 @@ neighbours; Fisher's rule combines them. Natural strings have combined values ne
 0, random ones any value alike.
 
 *False discoveries.* For each encoding and length class, a histogram over the
-candidates of the whole corpus shows both kinds: twice the candidates above one
-half are random ones, spread evenly; what exceeds that further down is natural.
+distinct candidates of the whole corpus shows both kinds: twice the candidates above
+one half are random ones, spread evenly; what exceeds that further down is natural.
 The least value is taken from which on at most ``RATE`` of the class's candidates
-are natural by this estimate. A class in which no value does so flags nothing.
+are natural by this estimate. A class in which no value does so flags nothing. A
+class of fewer than ``LEAST_CLASS`` candidates takes the value of its encoding over
+all lengths, and an encoding of fewer the fixed bin ``FALLBACK``.
 
 Null text: no spans. Ties and repeated rows are scanned alike; ids may be null.
 Spans are in code points, the end exclusive.
@@ -64,6 +66,9 @@ _SETS = {name: frozenset(a) for name, a in ALPHABETS.items()}
 LENGTHS = (20, 24, 32, 40, 64, 128)
 BINS = 50
 RATE = 0.05
+#: Distinct candidates to estimate from, and the least bin where there are fewer.
+LEAST_CLASS = 50
+FALLBACK = 5
 
 
 def chi_squared_tail(x: float, k: int) -> float:
@@ -153,13 +158,17 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
 
 
+def hash_of(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def length_class(n: int) -> int:
     return max(x for x in LENGTHS if x <= n)
 
 
 def _scan_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])
-    candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("bin", pa.int32()), ("p", pa.float64())])
+    candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("bin", pa.int32()), ("p", pa.float64()), ("hash", pa.int64())])
     for batch, texts in batches(it):
         base, found = [], []
         for text in texts:
@@ -168,24 +177,34 @@ def _scan_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = []
             for m in CANDIDATE.finditer(text.decode()):
                 name, p = battery(m.group())
-                own.append(dict(start=m.start(), end=m.end(), encoding=name, length=length_class(m.end() - m.start()), bin=min(BINS - 1, int(p * BINS)), p=p))
+                own.append(dict(start=m.start(), end=m.end(), encoding=name, length=length_class(m.end() - m.start()), bin=min(BINS - 1, int(p * BINS)), p=p, hash=hash_of(m.group())))
             found.append(own)
         yield pa.RecordBatch.from_pydict({"_row": batch.column("_row"), "doc_id": batch.column("doc_id"), "base": pa.array(base, pa.list_(kind)), "found": pa.array(found, pa.list_(candidate))})
 
 
+def least_bin(counts: list[int]) -> int | None:
+    """The least bin from which on at most RATE of the candidates are natural."""
+    random = 2 * sum(counts[BINS // 2 :])
+    for lo in range(BINS):
+        total = sum(counts[lo:])
+        if random and total and total - random * (BINS - lo) / BINS <= RATE * total:
+            return lo
+    return None
+
+
 def thresholds(histogram: list) -> dict[tuple[str, int], int]:
     """The least bin from which on a class's candidates count as random, by (encoding, length)."""
     table: dict[tuple[str, int], list[int]] = {}
+    whole: dict[str, list[int]] = {}
     for r in histogram:
         table.setdefault((r["encoding"], r["length"]), [0] * BINS)[r["bin"]] += r["count"]
+        whole.setdefault(r["encoding"], [0] * BINS)[r["bin"]] += r["count"]
     out = {}
     for key, counts in table.items():
-        random = 2 * sum(counts[BINS // 2 :])
-        for lo in range(BINS):
-            total = sum(counts[lo:])
-            if random and total and total - random * (BINS - lo) / BINS <= RATE * total:
-                out[key] = lo
-                break
+        enough = [c for c in (counts, whole[key[0]]) if sum(c) >= LEAST_CLASS]
+        lo = least_bin(enough[0]) if enough else FALLBACK
+        if lo is not None:
+            out[key] = lo
     return out
 
 
@@ -196,10 +215,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     if "_row" not in docs.columns:
         docs = docs.withColumn("_row", F.monotonically_increasing_id())
     span = "array<struct<start:bigint,kind:string,end:bigint>>"
-    schema = f"_row long, doc_id long, base {span}, found array<struct<start:bigint,end:bigint,encoding:string,length:int,bin:int,p:double>>"
+    schema = f"_row long, doc_id long, base {span}, found array<struct<start:bigint,end:bigint,encoding:string,length:int,bin:int,p:double,hash:bigint>>"
     scanned = materialise(docs.select("_row", "doc_id", "text").mapInArrow(_scan_stage, schema))
+    # A string counts once, however often it is copied.
+    distinct = scanned.select(F.explode("found").alias("c")).select("c.encoding", "c.length", "c.bin", "c.hash").distinct()
     # At most one row for each encoding, length class and bin.
-    histogram = scanned.select(F.explode("found").alias("c")).groupBy("c.encoding", "c.length", "c.bin").count().collect()
+    histogram = distinct.groupBy("encoding", "length", "bin").count().collect()
     least = thresholds([r.asDict() for r in histogram])
     if least:
         keys = F.create_map(*[x for (name, length), lo in sorted(least.items()) for x in (F.lit(f"{name}:{length}"), F.lit(lo))])

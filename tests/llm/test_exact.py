@@ -306,6 +306,36 @@ def test_randomness_battery_and_discovery_control(spark):
     assert len([i for i in found if i < 300]) > 150 and len([i for i in found if i >= 300]) <= 0.1 * len(found)
 
 
+def flagged(spark, strings):
+    """The strings with a span, each in a document of its own."""
+    rows = [(k, f"x {s} y") for k, s in enumerate(strings)]
+    out = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.size("spans") > 0)
+    return {strings[r.doc_id] for r in out.select("doc_id").collect()}
+
+
+def test_copies_of_a_string_do_not_move_its_threshold(spark):
+    rng = np.random.default_rng(8)
+    keys = ["".join(rng.choice(list(secrets.ALPHABETS["base62"]), 40)) for _ in range(200)]
+    by_p = sorted(keys, key=lambda s: secrets.battery(s)[1])
+    once = flagged(spark, keys)
+    low = next(s for s in by_p if s in once)
+    assert secrets.battery(low)[1] < 0.4 and len(once) > 150
+    assert flagged(spark, keys + [low] * 3000) == once  # else no lower one is found, nor itself
+    slugs = ["".join(rng.choice(list("abcde-"), 40)) for _ in range(200)]
+    natural = sorted(slugs, key=lambda s: secrets.battery(s)[1])
+    assert flagged(spark, slugs + [natural[-1]] * 3000) == flagged(spark, slugs)
+
+
+def test_few_candidates_take_the_fallback(spark):
+    rng = np.random.default_rng(9)
+    keys = ["".join(rng.choice(list(secrets.ALPHABETS["BASE36"]), 40)) for _ in range(20)]
+    key = next(s for s in keys if 0.2 < secrets.battery(s)[1] < 0.5)
+    assert flagged(spark, [key] * 30 + ["internationalisationandlocalisationagain"]) == {key}
+    few = [dict(encoding="hex", length=n, bin=40, count=c) for n, c in ((20, 60), (40, 1))]
+    assert secrets.thresholds(few) == {("hex", 20): 0, ("hex", 40): 0}  # by the encoding
+    assert secrets.thresholds(few[1:]) == {("hex", 40): secrets.FALLBACK}
+
+
 def test_redaction(docs):
     out = by_id(secrets.redact(docs))
     assert out[14].text == f"x {secrets.MARK}\" y" and out[14].n_chars == len(out[14].text)
