@@ -73,6 +73,19 @@ def events(log: DataFrame, now: int) -> DataFrame:
     return grants(log).select("lease_id", F.lit("grant").alias("event"), F.lit(0).cast("long").alias("n_keys")).union(over)
 
 
+def ranked(rows: DataFrame, order: str, segment: int = 10_000, fan: int = 1000) -> DataFrame:
+    """``rows`` with ``rank``, from 1 in the order of the whole number ``order``. As with
+    offsets, counts go within segments, groups of ``fan`` segments, and over the groups."""
+    rows = rows.withColumn("segment", F.coalesce(F.expr(f"`{order}` div {segment}"), F.lit(-(2**63))))
+    segments = rows.groupBy("segment").agg(F.count("*").alias("n")).withColumn("g", F.expr(f"segment div {fan}"))
+    groups = segments.groupBy("g").agg(F.sum("n").alias("n"))
+    before = lambda by, column: F.coalesce(F.sum("n").over(by.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("g", before(Window.partitionBy(), "g").alias("g0"))
+    starts = segments.join(groups, "g").select("segment", (F.col("g0") + before(Window.partitionBy("g"), "segment")).alias("s0"))
+    own = F.row_number().over(Window.partitionBy("segment").orderBy(order))
+    return rows.withColumn("own", own).join(starts, "segment").withColumn("rank", F.col("s0") + F.col("own")).drop("segment", "own", "s0")
+
+
 def resolve(puts: DataFrame, known: DataFrame, policy: str, base_id: int, now: int, ttl_ms: int = DEFAULT_TTL_MS) -> DataFrame:
     """Puts (seq, key, lease_id) against known leases under an unknown-lease policy:
     *create* makes a new lease a put, *ignore* drops the lease, *throw* marks an error."""
@@ -81,6 +94,6 @@ def resolve(puts: DataFrame, known: DataFrame, policy: str, base_id: int, now: i
         return marked.select("seq", "key", F.when(~F.col("unknown"), F.col("lease_id")).alias("lease_id"), F.col("unknown").alias("error"))
     if policy == "ignore":
         return marked.select("seq", "key", F.when(~F.col("unknown"), F.col("lease_id")).alias("lease_id"), F.lit(False).alias("error"))
-    fresh = marked.filter("unknown").withColumn("new_id", F.lit(base_id) + F.row_number().over(Window.orderBy("seq")))
-    made = fresh.select("seq", "key", F.col("new_id").cast("long").alias("lease_id"), F.lit(False).alias("error"))
+    fresh = ranked(marked.filter("unknown"), "seq")
+    made = fresh.select("seq", "key", (F.lit(base_id) + F.col("rank")).cast("long").alias("lease_id"), F.lit(False).alias("error"))
     return marked.filter(~F.col("unknown")).select("seq", "key", "lease_id", F.lit(False).alias("error")).union(made)

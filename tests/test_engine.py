@@ -121,6 +121,18 @@ def test_unknown_lease_policies(spark, policy, expected):
     assert out == {"a": (1, False), "b": expected}
 
 
+def test_new_leases_are_numbered_by_segments(spark):
+    n = 60_000
+    puts = spark.range(n).selectExpr("id * 997 % 60000 as seq", "concat('k', id) as key").selectExpr("seq", "key", "if(seq % 3 = 0, null, if(seq % 3 = 1, 1L, 77L)) as lease_id")
+    made = lease.resolve(puts, spark.createDataFrame([(1,)], "lease_id long"), "create", 100, 0)
+    assert "windowspecdefinition(seq" not in made._jdf.queryExecution().analyzed().toString()  # no task ranks all puts
+    out = {r.seq: r.lease_id for r in made.collect()}
+    assert out == {k: (None, 1, 100 + k // 3 + 1)[k % 3] for k in range(n)}
+    assert [r["rank"] for r in lease.ranked(puts.limit(500), "seq", 7, 3).orderBy("seq").collect()] == list(range(1, 501))
+    odd = spark.createDataFrame([(None, "n"), (-12, "a"), (5, "c"), (-3, "b"), (10**12, "d")], "seq long, key string")
+    assert {r.key: r["rank"] for r in lease.ranked(odd, "seq", 7, 3).collect()} == {"n": 1, "a": 2, "b": 3, "c": 4, "d": 5}
+
+
 MERGE = LOG + ", created_at_src long"
 
 
