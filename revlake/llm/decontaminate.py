@@ -12,7 +12,8 @@ The broadcast set is bounded: the benchmark is cut into blocks of at most
 are merged by document. One block holds a benchmark of about two million words.
 
 A null or empty text has no words and no hits. An empty benchmark, or one without
-words, hits nothing. Repeated items or rows count as they are.
+words, hits nothing. Items of one id count once, and so do all items without an id;
+repeated rows count as they are.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def words(text: bytes) -> list[bytes]:
 class WindowSet:
     """Windows of some items: word numbers, sorted hashes by window length, and who has them."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int = WIDTH):
         self.number: dict[bytes, int] = {}
         found: dict[int, dict[tuple[int, ...], set[int]]] = {}
         self.items = [i for i, _ in items]
@@ -91,7 +92,7 @@ def _scan(shared, keep: tuple[str, ...]):
         number = windows.number
         owners = {n: o for n, _, _, o in windows.by_length}
         for batch, texts in batches(it):
-            rows = {"n_words": [], "hits": [], "item_numbers": []}
+            rows = {"n_words": [], "hits": [], "item_ids": [], "unnamed": []}
             split = [words(t) for t in texts]
             flat = [number.get(w, 0) for ws in split for w in ws]
             # A border no window crosses stands between documents.
@@ -113,18 +114,21 @@ def _scan(shared, keep: tuple[str, ...]):
                 rows["n_words"].append(len(split[d]))
                 lo = int(begins[d])
                 rows["hits"].append(np.flatnonzero(hit[lo : lo + len(split[d])]).tolist() if d in items else [])
-                rows["item_numbers"].append([windows.items[k] for k in sorted(items.get(d, ()))])
+                ids_of = dict.fromkeys(windows.items[k] for k in sorted(items.get(d, ())))
+                rows["item_ids"].append([i for i in ids_of if i is not None])
+                rows["unnamed"].append(None in ids_of)
             yield pa.RecordBatch.from_pydict({
                 **{c: batch.column(c) for c in keep},
                 "n_words": pa.array(rows["n_words"], pa.int64()),
                 "hits": pa.array(rows["hits"], pa.list_(pa.int64())),
-                "items": pa.array(rows["item_numbers"], pa.list_(pa.string())),
+                "items": pa.array(rows["item_ids"], pa.list_(pa.string())),
+                "unnamed": pa.array(rows["unnamed"], pa.bool_()),
             })
 
     return run
 
 
-def _blocks(benchmark: DataFrame, width: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, width: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark's items in blocks of a bounded number of windows."""
     block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
@@ -139,25 +143,28 @@ def _blocks(benchmark: DataFrame, width: int) -> Iterator[list[tuple[str, bytes]
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs``, n_words, hits (places of hit words, from 0) and
-    items (item_id as string of every item with an occurring window, null ids left out)."""
+    """``keep`` columns of ``docs``, n_words, hits (places of hit words, from 0),
+    items (item_id as string of every item with an occurring window, null ids left out)
+    and n_items (how many ids these are, null as one more)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sets = [WindowSet([x for x in b if x[0] is not None], width) for b in _blocks(benchmark, width)] or [WindowSet([], width)]
+    sets = [WindowSet(b, width) for b in _blocks(benchmark, width)] or [WindowSet([], width)]
     wanted = docs.select(*dict.fromkeys([*keep, "text"]))
     out = keep
     if len(sets) > 1:  # rows of several scans meet again by a number that does not depend on the scan
         wanted, out = materialise(wanted.withColumn("_row", F.monotonically_increasing_id())), (*keep, "_row")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.select(*out).schema]
-    schema = ", ".join([*fields, "n_words long, hits array<long>, items array<string>"])
+    schema = ", ".join([*fields, "n_words long, hits array<long>, items array<string>, unnamed boolean"])
     scans = [wanted.mapInArrow(_scan(spark.sparkContext.broadcast(s), out), schema) for s in sets]
+    n_items = (F.size("items") + F.col("unnamed").cast("int")).alias("n_items")
+    columns = [*keep, "n_words", "hits", "items", n_items]
     if len(scans) == 1:
-        return scans[0]
+        return scans[0].select(*columns)
     merged = scans[0]
     for s in scans[1:]:
         merged = merged.unionByName(s)
     first = [F.first(c).alias(c) for c in [*keep, "n_words"]]
-    return merged.groupBy("_row").agg(*first, F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("_row")
+    return merged.groupBy("_row").agg(*first, F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.bool_or("unnamed").alias("unnamed")).select(*columns)
 
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -181,7 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 2, wi
     """``docs`` without documents that have windows of ``most_items`` items or more;
     of the others, hit words are cut out of the text and n_chars follows."""
     found = scan_documents(docs, benchmark, width, tuple(docs.columns))
-    kept = found.filter(F.size("items") < most_items)
+    kept = found.filter(F.col("n_items") < most_items)
     cut = F.udf(cut_words, "string")
     hit = F.size("hits") > 0
     # Only texts with hits go through Python once more.

@@ -74,9 +74,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_words",
         F.size("hits").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
+        F.col("n_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        (F.size("items") >= 2).alias("contaminated"),
+        (F.col("n_items") >= 2).alias("contaminated"),
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tests_llm_rows import BENCH, OTHER, texts
 
-from revlake.llm import bpe, decontaminate, licenses, neardup, secrets, simple8b, webp
+from revlake.llm import bpe, decontaminate, licenses, neardup, queries, secrets, simple8b, webp
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -451,3 +452,21 @@ def test_decontaminated_documents(spark, docs):
     out = by_id(decontaminate.decontaminate(docs, bench(spark).filter("item_id in (1, 22)")))
     assert 11 not in out and out[12].text == "only " and out[12].n_chars == 5 and out[3].text is None
     assert out[0].text == texts()[0][1]
+
+
+@pytest.mark.parametrize("block", [2_000_000, 5])
+def test_items_without_id_count(spark, docs, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    named = spark.createDataFrame([(1, BENCH), (None, OTHER), (None, "word40 word41"), (3, "word40 word41"), (3, "word50 word51")], "item_id long, text string")
+    docs.filter("doc_id is not null").write.parquet(f"{tmp_path}/documents.parquet")
+    named.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r.doc_id: r for r in queries.op10_decontaminate(spark, str(tmp_path)).collect()}
+    assert (rows[11].n_items, rows[12].n_items, rows[0].n_items, rows[11].contaminated) == (2, 1, 2, True)
+    assert rows[11].n_hit == len(set(brute_hits(texts()[11][1], [(1, BENCH), (None, OTHER)])[0]))
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = db.sql(queries.ORACLES["op10_decontaminate"])
+    assert sorted(found.fetchall()) == sorted(tuple(r[c] for c in found.columns) for r in rows.values())
+    kept = by_id(decontaminate.decontaminate(docs, named.filter("text like 'seven%'")))
+    assert kept[11].text == f"start {BENCH} middle  end"
