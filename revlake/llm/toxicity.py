@@ -35,6 +35,10 @@ from revlake.llm.quality import logistic_1d, training_labels
 
 #: Labelled rows of each class that stems, weights and scale are learned from, at most.
 LABELLED = 20_000
+#: Pseudo-counts that hold the label model to the labelled rates, as a multiple of the
+#: class's share of all documents; labels fewer than some SURE weigh less.
+HOLD = 1.2
+SURE = 100
 #: Learned voters at most, and candidates that they are chosen from.
 VOTERS, CANDIDATES = 60, 4000
 STEM = (4, 5, 6, 7)
@@ -309,7 +313,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float =
         rates[k] = (own.sum(axis=0) + hand) / (len(own) + 1.0)
     rates = np.clip(rates, 1e-5, 1 - 1e-5)
     rates[1] = np.maximum(rates[1], rates[0] * 1.01)
-    model = fit_label_model(patterns, n, LabelModel(rates, np.ones(n), share), np.array([50.0 + 4 * (y == k).sum() for k in (0, 1)]))
+    documents = patterns.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    labelled, parts = np.array([(y == k).sum() for k in (0, 1)]), np.array([1 - share, share])
+    strength = 50.0 + HOLD * documents * parts * labelled / (labelled + SURE)
+    model = fit_label_model(patterns, n, LabelModel(rates, np.ones(n), share), strength)
 
     weights, scale, shift = None, 1.0, 0.0
     if rows and 0 < y.sum() < len(y):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_rows import texts
 
 from revlake.llm import maxent, quality, toxicity
@@ -52,6 +53,16 @@ def test_toxicity_held_out_with_learned_stems(corpus):
     assert accuracy(toxicity.score_toxicity(docs, labels).collect(), truth, 2) > 0.95
 
 
+def test_labels_hold_alike_at_every_size(corpus, monkeypatch):
+    docs, labels, _ = corpus
+    held = []
+    monkeypatch.setattr(toxicity, "fit_label_model", lambda patterns, n, start, strength: held.append(strength) or start)
+    more = docs.unionByName(docs.crossJoin(docs.sparkSession.range(9)).drop("id").withColumn("doc_id", F.lit(None).cast("long")))
+    for d in (docs, more):
+        toxicity.score_toxicity(d, labels)
+    assert min(held[0]) > 50 and np.allclose(held[1] - 50, 10 * (held[0] - 50))
+
+
 @pytest.mark.parametrize(("score", "column"), [(quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
 def test_odd_rows_without_labels(spark, clashing, none, score, column):
     labels = spark.createDataFrame([], f"doc_id long, {column} int")
