@@ -1,24 +1,28 @@
 """Shared helpers of the document operators.
 
-Every operator takes a DataFrame, selects the columns it needs by name (extra
-columns are ignored, so clashing names cannot break it) and returns a DataFrame.
-Python stages run in Arrow batches whose row count and bytes are both bounded,
-so a run of very long texts cannot fill a worker.
+An operator that reports on documents selects doc_id and text by name and ignores all
+other columns. One that returns documents passes whole rows through Arrow and changes
+values in place, so no name of its own stands beside the user's columns. Python stages
+run in Arrow batches whose row count and bytes are both bounded, so a run of very long
+texts cannot fill a worker.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to a Python worker.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+#: Bytes that a Parquet writer of intermediate tables holds before it writes them out.
+ROW_GROUP = 16 << 20
 
 #: UTF-8 bytes with A-Z lower-cased and nothing else changed.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -40,17 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="revlake-")  # only where nothing is set: a single machine
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/revlake-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,7 +63,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def batches(it: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of the batches with at most ``most`` bytes of text, or one row."""
     for batch in it:
-        sizes = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text").cast(pa.binary()))])
+        sizes = np.cumsum([0, *pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()])
         lo = 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + most, side="right")) - 1)
@@ -71,6 +72,38 @@ def batches(it: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple
             lo = hi
 
 
+def changed(batch: pa.RecordBatch, values: dict[str, pa.Array]) -> pa.RecordBatch:
+    """``batch`` with other values in some of its columns."""
+    return pa.RecordBatch.from_arrays([values.get(c, batch.column(k)) for k, c in enumerate(batch.schema.names)], names=batch.schema.names)
+
+
+#: Parts of a vector that are added up apart.
+PIECES = 16
+
+
+def add_up(frame: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """The sum of what ``total`` makes of each partition, one vector of doubles. Tasks send
+    ``PIECES`` packed rows each, which other tasks add up, so the driver receives one vector."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector = total(it)
+        if vector is not None:
+            parts = np.array_split(np.asarray(vector, np.float64), PIECES)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(range(PIECES), pa.int32()), "v": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in it:
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(v)
+        if sums:
+            yield pa.RecordBatch.from_pydict({"k": pa.array(list(sums), pa.int32()), "v": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+
+    kind = "k int, v binary"
+    rows = frame.mapInArrow(run, kind).repartition(PIECES, "k").mapInArrow(add, kind).collect()
+    return np.concatenate([np.frombuffer(r["v"]) for r in sorted(rows, key=lambda r: r["k"])]) if rows else None
+
+
 #: Rows that a join may broadcast (a few longs each); beyond that it shuffles.
 BROADCAST_ROWS = 1_000_000
 

@@ -2,20 +2,27 @@
 
 *Voters.* A hand-written lexicon and patterns, and word stems that the training
 labels single out. A stem voter fires where words that begin with the stem occur
-at least so often. *Label model.* Every document's votes are a pattern; a
-two-class latent model over the counts of all patterns of the corpus estimates
-how often each voter fires in either class, by expectation-maximisation from the
-rates on training labels. Correlations between voters within a class, estimated
-from the same counts, divide the weight of voters that say the same thing.
-*Classifier.* A regularised logistic regression over the voters' counts is trained
-on the posterior labels, then its scale is set on the training labels.
+at least so often. *Label model.* A two-class latent model over the votes of all
+documents estimates how often each voter fires in either class, by
+expectation-maximisation from the rates on training labels, or from fixed rates where
+there are none. Correlations between voters within a class, estimated from the same
+votes in every round, divide the weight of voters that say the same thing.
+*Classifier.* A ridge logistic regression over the voters' counts is trained on the
+posterior labels of all documents; its scale is set on the training labels, if there
+are any.
+
+Documents with equal counts are looked at once, with their number. The sums of a round
+are one packed vector a task, added up by other tasks; the driver gets one vector.
 
 Bounds. At most ``LABELLED`` labelled rows of each class (those of least hash)
-are looked at to mine stems, train and calibrate; votes, patterns and posteriors
-cover all documents. Stems come from whole texts.
-
-Null text is an empty one; it fires no voter and is scored like any text that
-fires none. Without training labels the hand-written voters work alone.
+are looked at to mine stems, to start the label model and to set the scale; votes,
+correlations, posteriors and the classifier cover all documents. Stems come from whole
+texts.
+
+Null text is an empty one; it fires no voter and is scored like any text that fires
+none. Very long texts are scored whole. Repeated rows and rows without an id count as
+documents; the label of a repeated id is the greatest. An empty table gives no rows.
+Extra columns do not matter; ``without_toxic`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import ALNUM, batches, bounded_batches, held_out, materialise
+from revlake.llm.common import ALNUM, add_up, batches, bounded_batches, held_out, materialise
 from revlake.llm.quality import logistic_1d, training_labels
 
 #: Labelled rows of each class that stems, weights and scale are learned from, at most.
@@ -44,7 +51,10 @@ VOTERS, CANDIDATES = 60, 4000
 STEM = (4, 5, 6, 7)
 #: Least counts at which a stem voter fires; negative: so many in a thousand words.
 OFTEN = (1, 2, 3, 5, 8, -4, -8, -15)
-ROUNDS = 6
+#: Rounds of expectation-maximisation; the classifier's penalty and steps at most.
+ROUNDS, RIDGE, STEPS = 6, 1.0, 12
+#: Distinct rows of counts that a task holds before it passes them on.
+SHAPES = 20_000
 
 #: Words of abuse, each one a voter; groups of patterns follow.
 LEXICON = (
@@ -138,34 +148,61 @@ def hand_written() -> Voters:
     return v
 
 
-def _count_stage(voters: Voters):
+class Tally:
+    """Counts of every group of keys in a text, and the votes that follow from them."""
+
+    def __init__(self, voters: Voters):
+        self.automaton = voters.automaton()
+        self.groups = len(voters.groups)
+        self.group, self.often = (np.array(x) for x in zip(*voters.voters))
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """A row for each text: a count for each group, and the words of texts that have any."""
+        out = np.zeros((len(texts), self.groups + 1), np.int32)
+        for row, text in zip(out, texts):
+            found = False
+            for _, owners in self.automaton.iter(normal(text)):
+                found = True
+                for g in owners:
+                    row[g] += 1
+            if found:
+                row[-1] = len(text.split())
+        return out
+
+    def votes(self, counts: np.ndarray) -> np.ndarray:
+        own = counts[:, self.group].astype(np.int64)
+        return (own > 0) & np.where(self.often > 0, own >= self.often, 1000 * own >= -self.often * counts[:, -1:])
+
+
+def features(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of each group's count and of its share in a thousand words, and a one."""
+    rates = 1000 * counts[:, :-1] / np.maximum(counts[:, -1:], 1)
+    return np.hstack([np.log1p(counts[:, :-1]), np.log1p(rates), np.ones((len(counts), 1))])
+
+
+def _shape_stage(voters: Voters):
+    """Distinct rows of counts with how many documents have them, added up in each task."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = voters.automaton()
-        group, often = (np.array(x) for x in zip(*voters.voters))
-        for batch, texts in batches(it):
-            counts = np.zeros((len(texts), len(voters.groups) + 1), np.int32)
-            for row, text in zip(counts, texts):
-                for _, owners in automaton.iter(normal(text)):
-                    for g in owners:
-                        row[g] += 1
-            some = counts.any(axis=1)
-            counts[:, -1] = [len(t.split()) for t in texts]
-            own = counts[:, group].astype(np.int64)
-            fired = np.packbits((own > 0) & np.where(often > 0, own >= often, 1000 * own >= -often * counts[:, -1:]), axis=1)
-            yield pa.RecordBatch.from_pydict({
-                **{c: batch.column(c) for c in batch.schema.names if c != "text"},
-                "counts": pa.array([r.astype("<i4").tobytes() if s else b"" for r, s in zip(counts, some)], pa.binary()),
-                "votes": pa.array([r.tobytes() for r in fired], pa.binary()),
-            })
+        counter, tally = Tally(voters), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"counts": pa.array(list(tally), pa.binary()), "n": pa.array(list(tally.values()), pa.int64())})
+            tally.clear()
+            return out
+
+        for _, texts in batches(it):
+            tally.update(r.astype("<i4").tobytes() for r in counter.counts(texts))
+            if len(tally) > SHAPES:
+                yield flush()
+        if tally:
+            yield flush()
 
     return run
 
 
-def _rows(column: pa.Array, groups: int) -> np.ndarray:
-    """Logarithms of each group's count and of its share in a thousand words; no counts are zeros."""
-    empty = bytes(4 * groups + 4)
-    data = np.frombuffer(b"".join(x or empty for x in column.to_pylist()), "<i4").reshape(-1, groups + 1)
-    return np.hstack([np.log1p(data[:, :-1]), np.log1p(1000 * data[:, :-1] / np.maximum(data[:, -1:], 1))])
+def _matrix(column: pa.Array, groups: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, groups + 1)
 
 
 def _choose(candidates: list, positives: int, negatives: int, voters: Voters) -> None:
@@ -200,83 +237,148 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
-def _unpack(votes: pa.Array, n: int) -> np.ndarray:
-    width = (n + 7) // 8
-    return np.unpackbits(np.frombuffer(b"".join(votes.to_pylist()), np.uint8).reshape(-1, width), axis=1)[:, :n].astype(np.float64)
-
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n)
 
-def fit_label_model(patterns: DataFrame, n: int, start: LabelModel, strength: np.ndarray) -> LabelModel:
-    """Expectation-maximisation over ``patterns`` (votes, count), held to ``start`` by ``strength`` pseudo-counts of either class."""
-    spark, model = patterns.sparkSession, start
 
-    def sums(kind: str) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(model)
+def _sums(shapes: DataFrame, voters: Voters, model: LabelModel) -> np.ndarray | None:
+    """Documents, toxic documents, how often each voter fires in either class, and each pair of voters (upper triangles)."""
+    shared, n = shapes.sparkSession.sparkContext.broadcast(model), len(voters.voters)
 
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = 0.0
-            for batch in it:
-                v, w = _unpack(batch.column("votes"), n), batch.column("count").to_numpy()
+    def total(it: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        counter, out, upper = Tally(voters), None, _upper(n)
+        for batch in it:
+            if batch.num_rows:
+                v = counter.votes(_matrix(batch.column("counts"), counter.groups)).astype(np.float64)
+                w = batch.column("n").to_numpy()
                 p = shared.value.posterior(v)
-                if kind == "rates":
-                    total = total + np.concatenate([[w.sum(), (w * p).sum()], (w * (1 - p)) @ v, (w * p) @ v])
-                else:
-                    total = total + np.concatenate([((v * (w * (1 - p))[:, None]).T @ v).reshape(-1), ((v * (w * p)[:, None]).T @ v).reshape(-1)])
-            if not np.isscalar(total):
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(total), dtype=np.int32)), "v": pa.array(total)})
-
-        out = np.zeros(2 + 2 * n if kind == "rates" else 2 * n * n)
-        for r in patterns.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            out[r["k"]] = r["v"]
+                pairs = [((v * q[:, None]).T @ v)[upper] for q in (w * (1 - p), w * p)]
+                mine = np.concatenate([[w.sum(), (w * p).sum()], (w * (1 - p)) @ v, (w * p) @ v, *pairs])
+                out = mine if out is None else out + mine
         return out
 
-    for step in range(ROUNDS):
-        s = sums("rates")
-        if not s[0]:
+    return add_up(shapes, total)
+
+
+def next_model(s: np.ndarray, start: LabelModel, strength: np.ndarray) -> LabelModel:
+    """The label model that the sums ``s`` of a round give, held to ``start`` by ``strength`` pseudo-counts of either class."""
+    n = len(start.weight)
+    mass = np.array([s[0] - s[1], s[1]])
+    fired, pairs = s[2 : 2 + 2 * n].reshape(2, n), s[2 + 2 * n :].reshape(2, -1)
+    rates = np.clip((fired + strength[:, None] * start.rates) / (mass + strength)[:, None], 1e-5, 1 - 1e-5)
+    rates[1] = np.maximum(rates[1], rates[0] * 1.01)  # a voter never speaks for the clean class
+    prior = float(np.clip((s[1] + strength.sum() * start.prior) / (s[0] + strength.sum()), 1e-4, 0.5))
+    return LabelModel(np.clip(rates, 1e-5, 1 - 1e-5), weights_of(correlations(mass, fired, pairs)), prior)
+
+
+def correlations(mass: np.ndarray, fired: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """How far each pair of voters fires together beyond chance within a class, the larger of both classes."""
+    n = fired.shape[1]
+    joint = np.zeros((2, n, n))
+    joint[:, *_upper(n)] = pairs / np.maximum(mass, 1.0)[:, None]
+    joint = np.maximum(joint, joint.transpose(0, 2, 1))
+    alone = fired / np.maximum(mass, 1.0)[:, None]
+    sd = np.sqrt(np.maximum(alone * (1 - alone), 1e-12))
+    rho = np.clip((joint - alone[:, :, None] * alone[:, None, :]) / (sd[:, :, None] * sd[:, None, :]), 0, 1).max(axis=0)
+    np.fill_diagonal(rho, 1.0)
+    return rho
+
+
+def weights_of(rho: np.ndarray) -> np.ndarray:
+    """A voter's weight: one over the voters that say what it says, itself included."""
+    return 1 / np.where(rho > 0.1, rho, 0).sum(axis=1)
+
+
+def fit_label_model(shapes: DataFrame, voters: Voters, start: LabelModel, strength: np.ndarray) -> LabelModel:
+    """Expectation-maximisation over all documents' votes (``shapes``: counts, n)."""
+    model = start
+    for _ in range(ROUNDS):
+        s = _sums(shapes, voters, model)
+        if s is None:
             return model
-        mass = np.array([s[0] - s[1], s[1]])
-        fired = s[2:].reshape(2, n)
-        rates = np.clip((fired + strength[:, None] * start.rates) / (mass + strength)[:, None], 1e-5, 1 - 1e-5)
-        rates[1] = np.maximum(rates[1], rates[0] * 1.01)  # a voter never speaks for the clean class
-        prior = float(np.clip((s[1] + strength.sum() * start.prior) / (s[0] + strength.sum()), 1e-4, 0.5))
-        weight = model.weight
-        if step == 0:
-            # Correlation within a class: what a pair fires together beyond chance.
-            joint = sums("pairs").reshape(2, n, n) / np.maximum(mass, 1.0)[:, None, None]
-            alone = fired / np.maximum(mass, 1.0)[:, None]
-            cov = joint - alone[:, :, None] * alone[:, None, :]
-            sd = np.sqrt(np.maximum(alone * (1 - alone), 1e-12))
-            rho = np.clip(cov / (sd[:, :, None] * sd[:, None, :]), 0, 1).max(axis=0)
-            np.fill_diagonal(rho, 1.0)
-            weight = 1 / (np.where(rho > 0.1, rho, 0)).sum(axis=1)
-        model = LabelModel(np.clip(rates, 1e-5, 1 - 1e-5), weight, prior)
+        model = next_model(s, start, strength)
     return model
 
 
-def _logistic(x: np.ndarray, p: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and bias of a ridge logistic regression on soft labels, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge)
+def fit_classifier(shapes: DataFrame, voters: Voters, label_model: LabelModel) -> np.ndarray | None:
+    """Weights of a ridge logistic regression on the posterior labels of all documents, by
+    Newton steps whose sums Spark adds up; None without documents."""
+    spark, d = shapes.sparkSession, 2 * len(voters.groups) + 1
+    penalty = np.full(d, RIDGE)
     penalty[-1] = 1e-6
-    b = np.zeros(x.shape[1])
-    for _ in range(25):
-        q = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
-        g = x.T @ (w * (p - q)) - penalty * b
-        h = (x * (w * q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, g)
+    b, upper = np.zeros(d), _upper(d)
+    for _ in range(STEPS):
+        shared = spark.sparkContext.broadcast((label_model, b))
+
+        def total(it: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+            counter, (model, at), g, h = Tally(voters), shared.value, 0.0, None  # noqa: B023
+            for batch in it:
+                for lo in range(0, batch.num_rows, 4096):
+                    part = batch.slice(lo, 4096)
+                    counts = _matrix(part.column("counts"), counter.groups)
+                    x, w = features(counts), part.column("n").to_numpy()
+                    p = model.posterior(counter.votes(counts).astype(np.float64))
+                    q = 1 / (1 + np.exp(-np.clip(x @ at, -35, 35)))
+                    g = g + x.T @ (w * (p - q))
+                    own = (x * (w * q * (1 - q))[:, None]).T @ x
+                    h = own if h is None else h + own
+            return None if h is None else np.concatenate([g, h[upper]])  # noqa: B023
+
+        s = add_up(shapes, total)
+        if s is None:
+            return None
+        h = np.zeros((d, d))
+        h[upper] = s[d:]
+        h = np.maximum(np.abs(h), np.abs(h.T)) * np.where(h == 0, np.sign(h.T), np.sign(h))
+        step = np.linalg.solve(h + np.diag(penalty + 1e-9), s[:d] - penalty * b)
         step /= max(1.0, np.abs(step).max() / 3)
-        b += step
-        if np.abs(step).max() < 1e-6:
+        b = b + step
+        if np.abs(step).max() < 1e-4:
             break
     return b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the ``carry`` columns (of type long), held_out, score, predicted (1: toxic)
-    and the label model's posterior for every document."""
+@dataclass
+class Model:
+    """What scores a text: voters, label model, classifier, and the scale set on labels."""
+
+    voters: Voters
+    label_model: LabelModel
+    weights: np.ndarray | None = None
+    scale: float = 1.0
+    shift: float = 0.0
+
+    def margin(self, counts: np.ndarray) -> np.ndarray:
+        return np.clip(features(counts) @ self.weights, -20, 20)
+
+    def scores(self, counter: Tally, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Score and the label model's posterior of every text."""
+        counts = counter.counts(texts)
+        posterior = self.label_model.posterior(counter.votes(counts).astype(np.float64))
+        if self.weights is None:
+            return posterior, posterior
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.margin(counts) + self.shift, -35, 35))), posterior
+
+
+def _labelled_counts(docs: DataFrame, ids: DataFrame, sample: dict[int, int], voters: Voters) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and labels of the sampled rows, one for each id."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Tally(voters)
+        for batch, texts in batches(it):
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "counts": pa.array([r.astype("<i4").tobytes() for r in counter.counts(texts)], pa.binary())})
+
+    # At most 2 * LABELLED rows.
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, counts binary").groupBy("doc_id").agg(F.min("counts").alias("counts")).collect()
+    groups = len(voters.groups)
+    return np.array([np.frombuffer(r["counts"], "<i4") for r in rows]).reshape(-1, groups + 1), np.array([sample[r["doc_id"]] for r in rows], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame | None) -> Model:
+    """Learn voters, label model and classifier from all texts of ``docs``, and from the labels that may be learned from."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select("doc_id", *carry, "text")
-    longs = "".join(f", {c} long" for c in carry)
+    docs = docs.select("doc_id", "text")
     voters, sample, share = hand_written(), {}, 0.05
     totals = {0: 0, 1: 0}
     if labels is not None:
@@ -285,10 +387,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float =
         for y in (0, 1):
             for r in usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect():
                 sample[r["doc_id"]] = y
+    ids = spark.createDataFrame([(i,) for i in sample], "doc_id long")  # at most 2 * LABELLED rows
     if sample:
         share = float(np.clip(totals[1] / max(1, sum(totals.values())), 1e-3, 0.5))
         shared = spark.sparkContext.broadcast(sample)
-        ids = spark.createDataFrame([(i,) for i in sample], "doc_id long")  # at most 2 * LABELLED rows
         seen = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_stem_stage(shared), "stem string, often int, y int, n long")
         tally = seen.groupBy("stem", "often").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
         positives, negatives = (sum(1 for v in sample.values() if v == y) for y in (1, 0))
@@ -296,16 +398,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float =
         best = tally.filter((F.col("pos") >= max(4, 0.004 * positives)) & (ratio > 3)).orderBy(F.desc(F.col("pos") * F.log(ratio)), "stem", "often").limit(CANDIDATES).collect()
         if positives and negatives:
             _choose(best, positives, negatives, voters)
-    n, groups = len(voters.voters), len(voters.groups)
-    counted = materialise(docs.mapInArrow(_count_stage(voters), f"doc_id long{longs}, counts binary, votes binary"))
-    patterns = counted.groupBy("votes").count()
-    patterns = materialise(patterns)
+    n, counter = len(voters.voters), Tally(voters)
+    shapes = docs.mapInArrow(_shape_stage(voters), "counts binary, n long").groupBy("counts").agg(F.sum("n").alias("n"))
+    shapes = materialise(shapes)
 
-    rows = []
-    if sample:
-        rows = counted.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "counts", "votes").dropDuplicates(["doc_id"]).collect()
-    y = np.array([sample[r["doc_id"]] for r in rows], float)
-    v = _unpack(pa.array([bytes(r["votes"]) for r in rows], pa.binary()), n) if rows else np.zeros((0, n))
+    counts, y = _labelled_counts(docs, ids, sample, voters) if sample else (np.zeros((0, len(voters.groups) + 1), np.int32), np.zeros(0))
+    v = counter.votes(counts).astype(np.float64)
     rates = np.empty((2, n))
     for k in (0, 1):
         own = v[y == k]
@@ -313,32 +411,39 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float =
         rates[k] = (own.sum(axis=0) + hand) / (len(own) + 1.0)
     rates = np.clip(rates, 1e-5, 1 - 1e-5)
     rates[1] = np.maximum(rates[1], rates[0] * 1.01)
-    documents = patterns.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    documents = shapes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     labelled, parts = np.array([(y == k).sum() for k in (0, 1)]), np.array([1 - share, share])
     strength = 50.0 + HOLD * documents * parts * labelled / (labelled + SURE)
-    model = fit_label_model(patterns, n, LabelModel(rates, np.ones(n), share), strength)
-
-    weights, scale, shift = None, 1.0, 0.0
-    if rows and 0 < y.sum() < len(y):
-        x = _rows(pa.array([bytes(r["counts"]) for r in rows], pa.binary()), groups)
+    label_model = fit_label_model(shapes, voters, LabelModel(rates, np.ones(n), share), strength)
+    model = Model(voters, label_model, fit_classifier(shapes, voters, label_model))
+    if model.weights is not None and 0 < y.sum() < len(y):
         # The sample holds the classes in other shares than the labels do.
         w = np.where(y == 1, totals[1] / y.sum(), totals[0] / (len(y) - y.sum()))
-        w /= w.mean()
-        weights = _logistic(x, model.posterior(v), w)
-        margin = np.clip(x @ weights[:-1] + weights[-1], -20, 20)
-        scale, shift = logistic_1d(margin, y, w)
-    shared = spark.sparkContext.broadcast((model, weights, scale, shift))
+        model.scale, model.shift = logistic_1d(model.margin(counts), y, w / w.mean())
+    return model
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted (1: toxic) and the label model's posterior for every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, weights, scale, shift = shared.value
-        for batch in it:
-            posterior = model.posterior(_unpack(batch.column("votes"), n))
-            score = posterior
-            if weights is not None:
-                x = _rows(batch.column("counts"), groups)
-                score = 1 / (1 + np.exp(-np.clip(scale * np.clip(x @ weights[:-1] + weights[-1], -20, 20) + shift, -35, 35)))
-            kept = {c: batch.column(c) for c in ("doc_id", *carry)}
-            yield pa.RecordBatch.from_pydict({**kept, "score": pa.array(score), "posterior": pa.array(posterior)})
-
-    scored = counted.mapInArrow(run, f"doc_id long{longs}, score double, posterior double")
-    return scored.select("doc_id", *carry, held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "posterior")
+        counter = Tally(shared.value.voters)
+        for batch, texts in batches(it):
+            score, posterior = shared.value.scores(counter, texts)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score), "posterior": pa.array(posterior)})
+
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, posterior double")
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "posterior")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Tally(shared.value.voters)
+        for batch, texts in batches(it):
+            yield batch.filter(pa.array(shared.value.scores(counter, texts)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
