@@ -5,10 +5,12 @@
 *Battery.* Every maximal run of ``LEAST`` or more letters, digits and ``+/_-`` (a
 closing ``=`` aside) is a candidate. Its encoding is the smallest of ``ALPHABETS``
 that holds its characters. Under the hypothesis that it is drawn evenly from that
-alphabet, three tests give probabilities: chi-squared over equal cells of the
-alphabet, the number of runs above and below the middle, and the correlation of
-neighbours; Fisher's rule combines them. Natural strings have combined values near
-0, random ones any value alike.
+alphabet, four tests give probabilities: chi-squared over equal cells of the
+alphabet, the number of distinct characters, the number of runs above and below the
+middle, and the correlation of neighbours. Their logarithms are added up. The tests
+depend on each other, so the sum is compared with a chi-squared curve whose scale and
+degrees of freedom follow from the mean and variance of ``DRAWS`` evenly drawn strings
+of the same encoding and length class, made from a fixed seed. Natural strings have combined values near 0, random ones any value alike.
 
 *False discoveries.* For each encoding and length class, a histogram over the
 distinct candidates of the whole corpus shows both kinds: twice the candidates above
@@ -18,13 +20,19 @@ are natural by this estimate. A class in which no value does so flags nothing. A
 class of fewer than ``LEAST_CLASS`` candidates takes the value of its encoding over
 all lengths, and an encoding of fewer the fixed bin ``FALLBACK``.
 
+Two passes over the texts: one for the histogram, one that gives spans. Extra columns
+do not matter; ``redact`` returns them as they are. An empty table gives no rows, an
+empty text no spans; texts of any length are scanned whole.
+
 Null text: no spans. Ties and repeated rows are scanned alike; ids may be null.
 Spans are in code points, the end exclusive.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from math import erfc, exp, lgamma, log, sqrt
@@ -33,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import LOWER, batches, bounded_batches, materialise, sized
+from revlake.llm.common import LOWER, batches, bounded_batches, changed
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -69,9 +77,11 @@ RATE = 0.05
 #: Distinct candidates to estimate from, and the least bin where there are fewer.
 LEAST_CLASS = 50
 FALLBACK = 5
+#: Evenly drawn strings that the combined value is compared with.
+DRAWS = 999
 
 
-def chi_squared_tail(x: float, k: int) -> float:
+def chi_squared_tail(x: float, k: float) -> float:
     """P(chi-squared of k degrees > x), by the incomplete gamma function."""
     a, x = k / 2, x / 2
     if x <= 0:
@@ -102,10 +112,8 @@ def encoding_of(s: str) -> str:
     return next((name for name, a in _SETS.items() if used <= a), "other")
 
 
-def battery(s: str) -> tuple[str, float]:
-    """The inferred encoding of ``s`` and how well evenly random characters explain it."""
-    s = s.rstrip("=")
-    name = encoding_of(s)
+def statistic(s: str, name: str) -> float:
+    """The sum of the tests' logarithms, negative; large where ``s`` does not look evenly drawn."""
     index, size, n = _INDEX[name], len(ALPHABETS[name]), len(s)
     x = [index[c] for c in s]
     # Uniformity over cells that hold about five characters each.
@@ -118,9 +126,9 @@ def battery(s: str) -> tuple[str, float]:
     even = chi_squared_tail(sum((o - e) ** 2 / e for o, e in zip(seen, expected)), cells - 1)
     # Cells of letters and digits hide how few distinct characters there are, so those count too.
     distinct = len(set(x))
-    mean = size * (1 - (1 - 1 / size) ** n)
-    spread = sqrt(max(1e-9, size * (1 - 1 / size) ** n * (1 - (1 - 1 / size) ** n) + size * (size - 1) * ((1 - 2 / size) ** n - (1 - 1 / size) ** (2 * n))) if size > 2 else 1.0)
-    few = min(1.0, max(1e-12, 0.5 * erfc((mean - distinct) / (spread + 1e-9) / sqrt(2)) * 2 if distinct < mean else 1.0))
+    none, two = (1 - 1 / size) ** n, (1 - 2 / size) ** n
+    spread = sqrt(max(1e-9, size * none * (1 - none) + size * (size - 1) * (two - none * none)))
+    few = 0.5 * erfc((size * (1 - none) - distinct) / spread / sqrt(2))
     # Runs above and below the middle of the alphabet.
     high = [2 * v >= size for v in x]
     n1 = sum(high)
@@ -128,17 +136,33 @@ def battery(s: str) -> tuple[str, float]:
     if n0 and n1:
         runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
         mu = 2 * n0 * n1 / n + 1
-        var = max(1e-9, (mu - 1) * (mu - 2) / (n - 1))
-        run = erfc(abs(runs - mu) / sqrt(2 * var))
+        run = erfc(abs(runs - mu) / sqrt(2 * max(1e-9, (mu - 1) * (mu - 2) / (n - 1))))
     else:
         run = 2.0 ** (1 - n)
     # Correlation of neighbours.
     m = sum(x) / n
     var = sum((v - m) ** 2 for v in x)
     serial = erfc(abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / var * sqrt(n)) / sqrt(2)) if var else 0.0
-    even = min(1.0, 2 * min(even, few))
-    fisher = -2 * sum(log(max(p, 1e-300)) for p in (even, run, serial))
-    return name, chi_squared_tail(fisher, 6)
+    return -sum(log(max(p, 1e-300)) for p in (even, few, run, serial))
+
+
+@functools.lru_cache(maxsize=None)
+def drawn(name: str, length: int) -> tuple[float, float]:
+    """Scale and degrees of freedom of the chi-squared curve that has the mean and the variance
+    of evenly drawn strings' statistics: dependent tests spread wider than independent ones."""
+    rng = random.Random(f"{name}:{length}")
+    sums = [2 * statistic("".join(rng.choices(ALPHABETS[name], k=length)), name) for _ in range(DRAWS)]
+    mean = sum(sums) / DRAWS
+    variance = sum((x - mean) ** 2 for x in sums) / (DRAWS - 1)
+    return variance / (2 * mean), 2 * mean * mean / variance
+
+
+def battery(s: str) -> tuple[str, float]:
+    """The inferred encoding of ``s`` and how well evenly drawn characters explain it."""
+    s = s.rstrip("=")
+    name = encoding_of(s)
+    scale, degrees = drawn(name, length_class(len(s)))
+    return name, chi_squared_tail(2 * statistic(s, name) / scale, degrees)
 
 
 def base_spans(text: bytes) -> list[tuple[int, str, int]]:
@@ -166,20 +190,19 @@ def length_class(n: int) -> int:
     return max(x for x in LENGTHS if x <= n)
 
 
-def _scan_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])
-    candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("bin", pa.int32()), ("p", pa.float64()), ("hash", pa.int64())])
-    for batch, texts in batches(it):
-        base, found = [], []
-        for text in texts:
-            spans = base_spans(text)
-            base.append([dict(start=a, kind=k, end=b) for a, k, b in spans])
-            own = []
-            for m in CANDIDATE.finditer(text.decode()):
-                name, p = battery(m.group())
-                own.append(dict(start=m.start(), end=m.end(), encoding=name, length=length_class(m.end() - m.start()), bin=min(BINS - 1, int(p * BINS)), p=p, hash=hash_of(m.group())))
-            found.append(own)
-        yield pa.RecordBatch.from_pydict({"_row": batch.column("_row"), "doc_id": batch.column("doc_id"), "base": pa.array(base, pa.list_(kind)), "found": pa.array(found, pa.list_(candidate))})
+@functools.lru_cache(maxsize=100_000)
+def judged(s: str) -> tuple[str, int, int]:
+    """Encoding, length class and bin of a candidate."""
+    name, p = battery(s)
+    return name, length_class(len(s)), min(BINS - 1, int(p * BINS))
+
+
+def _candidate_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every candidate's class, bin and hash, copies in a batch left out."""
+    for _, texts in batches(it):
+        found = sorted({m for t in texts for m in CANDIDATE.findall(t.decode())})
+        rows = [(*judged(m), hash_of(m)) for m in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["encoding", "length", "bin", "hash"])
 
 
 def least_bin(counts: list[int]) -> int | None:
@@ -208,36 +231,41 @@ def thresholds(histogram: list) -> dict[tuple[str, int], int]:
     return out
 
 
+def learned(docs: DataFrame) -> dict[tuple[str, int], int]:
+    """Thresholds from the distinct candidates of all texts; a string counts once, however often it is copied."""
+    found = docs.select("text").mapInArrow(_candidate_stage, "encoding string, length int, bin int, hash long")
+    # At most one row for each encoding, length class and bin.
+    histogram = found.distinct().groupBy("encoding", "length", "bin").count().collect()
+    return thresholds([r.asDict() for r in histogram])
+
+
+def spans_of(text: bytes, least: dict[tuple[str, int], int]) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+    """Base spans, and these with the random strings that overlap none of them."""
+    base = base_spans(text)
+    more = []
+    for m in CANDIDATE.finditer(text.decode()):
+        name, length, at = judged(m.group())
+        if at >= least.get((name, length), BINS) and not any(a < m.end() and m.start() < b for a, _, b in base):
+            more.append((m.start(), "random", m.end()))
+    return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
+
+
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """_row (a number of the input row), doc_id, base spans and all spans of every document."""
+    """doc_id, base spans and all spans (start, kind, end) of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    if "_row" not in docs.columns:
-        docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    span = "array<struct<start:bigint,kind:string,end:bigint>>"
-    schema = f"_row long, doc_id long, base {span}, found array<struct<start:bigint,end:bigint,encoding:string,length:int,bin:int,p:double,hash:bigint>>"
-    scanned = materialise(docs.select("_row", "doc_id", "text").mapInArrow(_scan_stage, schema))
-    # A string counts once, however often it is copied.
-    distinct = scanned.select(F.explode("found").alias("c")).select("c.encoding", "c.length", "c.bin", "c.hash").distinct()
-    # At most one row for each encoding, length class and bin.
-    histogram = distinct.groupBy("encoding", "length", "bin").count().collect()
-    least = thresholds([r.asDict() for r in histogram])
-    if least:
-        keys = F.create_map(*[x for (name, length), lo in sorted(least.items()) for x in (F.lit(f"{name}:{length}"), F.lit(lo))])
-        taken = lambda c: c["bin"] >= F.coalesce(F.try_element_at(keys, F.concat_ws(":", c["encoding"], c["length"].cast("string"))), F.lit(BINS))
-    else:
-        taken = lambda c: F.lit(False)
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.transform(F.filter("found", lambda c: taken(c) & apart(c)), lambda c: F.struct(c["start"].alias("start"), F.lit("random").alias("kind"), c["end"].alias("end")))
-    # No two spans of different kinds that remain start alike except base ones, which are in order already.
-    return scanned.select("_row", "doc_id", "base", F.array_sort(F.concat("base", more), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(_rank(a["kind"]) - _rank(b["kind"]))).alias("spans"))
+    docs = docs.select("doc_id", "text")
+    shared = spark.sparkContext.broadcast(learned(docs))
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
+        for batch, texts in batches(it):
+            found = [spans_of(t, shared.value) for t in texts]
+            base, every = ([[dict(start=a, kind=k, end=b) for a, k, b in spans[j]] for spans in found] for j in (0, 1))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "base": pa.array(base, kind), "spans": pa.array(every, kind)})
 
-def _rank(kind):
-    rank = F.lit(len(KINDS))
-    for i, k in enumerate(KINDS):
-        rank = F.when(kind == k, F.lit(i)).otherwise(rank)
-    return rank
+    span = "array<struct<start:bigint,kind:string,end:bigint>>"
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, base {span}, spans {span}")
 
 
 def spans_text(column: str):
@@ -247,30 +275,34 @@ def spans_text(column: str):
 MARK = "[secret]"
 
 
-def cut_spans(text: str | None, spans: list | None) -> str | None:
-    """``text`` with MARK in place of every span; spans that touch are one."""
-    if text is None or spans is None:
-        return text
+def cut_spans(text: str, spans: list[tuple[int, str, int]]) -> str:
+    """``text`` with MARK in place of every span; spans that overlap are one."""
     out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if s["start"] >= at:
-            out += [text[at : s["start"]], MARK]
-        at = max(at, s["end"])
+    for start, _, end in sorted(spans, key=lambda s: (s[0], s[2])):
+        if start >= at:
+            out += [text[at:start], MARK]
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced by MARK in text, and n_chars to match."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    spans = scan_secrets(rows).filter(F.size("spans") > 0).select("_row", "spans")
-    cut = F.udf(cut_spans, "string")
-    hit = F.col("spans").isNotNull()
-    # Only texts with spans go through Python.
-    found = rows.join(sized(materialise(spans)), "_row", "left").withColumn("text", F.when(hit, cut(F.when(hit, F.col("text")), "spans")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
+    """``docs``, all columns, with every secret replaced by MARK in text, and n_chars (a number) to match."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(learned(docs))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(it):
+            text, n = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
+            for k, t in enumerate(texts):
+                spans = spans_of(t, shared.value)[1]
+                if spans:
+                    text[k] = cut_spans(text[k], spans)
+                    if n is not None:
+                        n[k] = len(text[k])
+            values = {"text": pa.array(text, batch.schema.field("text").type)}
+            if n is not None:
+                values["n_chars"] = pa.array(n, batch.schema.field("n_chars").type)
+            yield changed(batch, values)
+
+    return docs.mapInArrow(run, docs.schema)
