@@ -48,10 +48,15 @@ COORDINATES = 64
 LEAST_EQUAL = 33
 TREES = 10
 BRANCHES = 2.0
-#: Pairs between components that one node may compare exhaustively, and classes of a block.
-CROSS = 1_000_000
-SMALL = 400
+#: Pairs between components that one node may compare exhaustively (about a second's work),
+#: and classes of a block of a node that is larger still.
+CROSS = 100_000_000
+SMALL = 4_000
 DEPTH = 5
+#: Nodes up to this size are compared many at once.
+FEW = 32
+#: Members of all sets of a block whose sets are compared; two blocks are held at once.
+MEMBERS = 500_000
 #: Nodes above this size are compared with a central class, found from a sample of so many.
 CENTRAL, SAMPLE = 8, 64
 
@@ -135,8 +140,10 @@ def _sketch_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in batches(it):
-        sets = [shingles(t) for t in texts]
-        yield pa.RecordBatch.from_pydict({"cid": batch.column("cid"), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
+        for cid, text in zip(batch.column("cid").to_pylist(), texts):
+            members = shingles(text)
+            if class_of(members) == cid:
+                yield pa.RecordBatch.from_pydict({"cid": pa.array([cid], pa.int64()), "members": pa.array([members.tobytes()], pa.binary())})
 
 
 def _branch(paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +193,28 @@ def _similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return ((a == b).sum(axis=-1) >= LEAST_EQUAL) & (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb))
 
 
+def _close(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of rows, sorted by component, that sketches and sizes allow: of different
+    components, and of different sides unless the side is -1. Coordinate by coordinate, for
+    some rows against some others at a time."""
+    columns = np.ascontiguousarray(sig.T)
+    for lo in range(0, len(n), 256):
+        own = slice(lo, lo + 256)
+        for at in range(lo, len(n), 4096):
+            rest = slice(at, at + 4096)
+            if comp[lo] == comp[rest][-1]:  # sorted, so all are of one component
+                continue
+            equal = np.zeros((len(n[own]), len(n[rest])), np.uint8)
+            for column in columns:
+                equal += column[own][:, None] == column[rest]
+            i, j = np.nonzero(equal >= LEAST_EQUAL)
+            i, j = i + lo, j + at
+            use = (i < j) & (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] < 0))
+            i, j = i[use], j[use]
+            use = 100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])
+            yield i[use], j[use]
+
+
 def _allow_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         if batch.num_rows:
@@ -212,11 +241,10 @@ def _exhaust_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     edges: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def similar(c: dict[str, np.ndarray], sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-        ok = _similar(sig[i], sig[j], c["n"][i], c["n"][j])
-        if ok.any():
-            edges.append((c["cid"][i[ok]], c["cid"][j[ok]]))
-            if sum(len(a) for a, _ in edges) > 500_000:
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            edges.append((a, b))
+            if sum(len(x) for x, _ in edges) > 500_000:
                 edges[:] = [spanning()]
 
     def spanning() -> tuple[np.ndarray, np.ndarray]:
@@ -225,33 +253,26 @@ def _exhaust_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = ends != least
         return least[far], ends[far]
 
-    def across(c: dict[str, np.ndarray], sig: np.ndarray, rows: np.ndarray) -> None:
-        """Each component of a large node (rows in order of component) with those after it."""
-        comp = c["comp"][rows]
-        ends = np.flatnonzero(np.diff(comp)) + 1
-        for lo, hi in zip([0, *ends.tolist()], ends.tolist()):
-            rest = rows[hi:]
-            step = max(1, 200_000 // len(rest))
-            for at in range(lo, hi, step):
-                own = rows[at : min(hi, at + step)]
-                similar(c, sig, np.repeat(own, len(rest)), np.tile(rest, len(own)))
-
     def pairs(c: dict[str, np.ndarray], sig: np.ndarray) -> None:
         new = np.ones(len(c["path"]), bool)
         new[1:] = (c["path"][1:] != c["path"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.concatenate([starts, [len(new)]]))
-        for lo, m in zip(starts[sizes > 2 * SMALL].tolist(), sizes[sizes > 2 * SMALL].tolist()):
-            across(c, sig, lo + np.argsort(c["comp"][lo : lo + m], kind="stable"))
-        for m in np.unique(sizes[(sizes > 1) & (sizes <= 2 * SMALL)]).tolist():
+        for lo, m in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+            rows = lo + np.argsort(c["comp"][lo : lo + m], kind="stable")
+            for i, j in _close(sig[rows], c["n"][rows], c["comp"][rows], c["side"][rows]):
+                keep(c["cid"][rows[i]], c["cid"][rows[j]])
+        for m in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
             left, right = np.triu_indices(m, 1)
             own = starts[sizes == m]
-            step = max(1, 200_000 // len(left))
+            step = max(1, 50_000 // len(left))
             for lo in range(0, len(own), step):
                 i = (own[lo : lo + step, None] + left).reshape(-1)
                 j = (own[lo : lo + step, None] + right).reshape(-1)
                 use = (c["comp"][i] != c["comp"][j]) & ((c["side"][i] != c["side"][j]) | (c["side"][i] < 0))
-                similar(c, sig, i[use], j[use])
+                i, j = i[use], j[use]
+                ok = _similar(sig[i], sig[j], c["n"][i], c["n"][j])
+                keep(c["cid"][i[ok]], c["cid"][j[ok]])
 
     held, kept = None, None
     for batch in it:
@@ -274,49 +295,66 @@ def _exhaust_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components, on full sets, in every cluster or across two of its
-    blocks. For each set in turn, its members are marked and all others counted at once."""
-    names = ("cluster", "x", "y", "cid", "comp", "side")
+    """Links between components, on full sets, in every cluster or across two of its blocks.
+    Of each set in turn the members are marked and those of its candidates counted; what is
+    linked by then, if only by way of others, is not compared again."""
+    names = ("cluster", "x", "y", "cid", "comp", "side", "n")
 
-    def links(c: dict[str, np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def links(c: dict[str, np.ndarray], sets: list[np.ndarray], sig: list[bytes]) -> Iterator[pa.RecordBatch]:
         if len(sets) < 2:
             return
-        sizes = np.array([len(s) for s in sets])
+        order = np.argsort(c["comp"], kind="stable")
+        c, sets = {k: v[order] for k, v in c.items()}, [sets[k] for k in order.tolist()]
+        signs = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, COORDINATES)[order]
         every, numbers = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        mark = np.zeros(len(every), np.int32)
+        sizes = np.array([len(s) for s in sets])
+        ends = np.cumsum(sizes)
+        members = np.split(numbers, ends[:-1])
+        mark = np.zeros(len(every), np.uint8)
+        label = np.unique(c["comp"], return_inverse=True)[1]
         found_a, found_b = [], []
-        for i in range(len(sets)):
-            own = numbers[starts[i] : starts[i] + sizes[i]]
-            later = (np.arange(len(sets)) > i) & (c["comp"] != c["comp"][i]) & ((c["side"] != c["side"][i]) | (c["side"] < 0))
-            if not later.any():
-                continue
-            mark[own] = 1
-            both = np.add.reduceat(mark[numbers], starts)
-            mark[own] = 0
-            hit = np.flatnonzero(later & (100 * both >= THRESHOLD * (sizes + sizes[i] - both)))
-            found_a += [int(c["cid"][i])] * len(hit)
-            found_b += c["cid"][hit].tolist()
+        for i, j in _close(signs, c["n"], c["comp"], c["side"]):
+            by = np.argsort(i, kind="stable")
+            i, j = i[by], j[by]
+            cuts = np.flatnonzero(np.diff(i)) + 1
+            for one, others in zip(np.split(i, cuts), np.split(j, cuts)):
+                if not len(one):
+                    continue
+                k = int(one[0])
+                mark[members[k]] = 1
+                while True:
+                    others = others[label[others] != label[k]]
+                    if not len(others):
+                        break
+                    some, others = others[:64], others[64:]
+                    starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+                    both = np.add.reduceat(mark[np.concatenate([members[o] for o in some.tolist()])], starts, dtype=np.int64)
+                    for o in some[100 * both >= THRESHOLD * (sizes[some] + sizes[k] - both)].tolist():
+                        found_a.append(int(c["cid"][k]))
+                        found_b.append(int(c["cid"][o]))
+                        label[label == label[o]] = label[k]
+                mark[members[k]] = 0
         if found_a:
-            ends, least = least_labels(np.array(found_a), np.array(found_b))
-            far = ends != least
-            yield pa.RecordBatch.from_pydict({"a": pa.array(least[far]), "b": pa.array(ends[far])})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(found_a, found_b)), "b": pa.array(np.maximum(found_a, found_b))})
+
+    def empty() -> tuple[dict[str, np.ndarray], list[np.ndarray], list[bytes]]:
+        return {k: np.zeros(0, np.int64) for k in names}, [], []
 
-    held: dict[str, np.ndarray] = {k: np.zeros(0, np.int64) for k in names}
-    kept: list[np.ndarray] = []
+    held, kept, signs = empty()
     for batch in it:
         c = {k: batch.column(k).to_numpy().astype(np.int64) for k in names}
         sets = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
+        sig = batch.column("sig").to_pylist()
         cuts = [0, *(np.flatnonzero((np.diff(c["cluster"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)) + 1).tolist(), len(sets)]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
                 continue
             if len(kept) and any(held[k][0] != c[k][lo] for k in names[:3]):
-                yield from links(held, kept)
-                held, kept = {k: np.zeros(0, np.int64) for k in names}, []
+                yield from links(held, kept, signs)
+                held, kept, signs = empty()
             held = {k: np.concatenate([held[k], c[k][lo:hi]]) for k in names}
-            kept = kept + sets[lo:hi]
-    yield from links(held, kept)
+            kept, signs = kept + sets[lo:hi], signs + sig[lo:hi]
+    yield from links(held, kept, signs)
 
 
 def _mode_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,31 +444,34 @@ def propagated(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the ``carry`` columns (of type long), n_shingles, component_id, kept, and
-    group: a name of the component that ids have no part in, null without words."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and a hash of the text, which tells rows apart that have no id or share one."""
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and group: a name of the component that ids
+    have no part in, null without words; hash: of the text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    longs = "".join(f", {c} long" for c in carry)
-    base = materialise(docs.select("doc_id", *carry, "text").mapInArrow(_sketch_stage, f"doc_id long{longs}, n long, cid long, sketch binary"))
-    docs = docs.select("doc_id", "text")
-    small = base.select("doc_id", *carry, "n", "cid")
-    classes = base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes)
+    docs = _rows(docs)
+    base = materialise(docs.mapInArrow(_sketch_stage, "doc_id long, hash long, n long, cid long, sketch binary"))
+    small = base.select("doc_id", "hash", "n", "cid")
+    # A class stands for itself by the text of its least id, or of any row where ids are missing.
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("rep"), "hash")).alias("first")
+    classes = base.filter("cid is not null").groupBy("cid").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes.select("cid", "first.rep", "first.hash", "n", "sketch"))
 
     rows = materialise(_nodes(classes.select("cid", "sketch").mapInArrow(_root_stage, "path long, cid long")))
-    met = classes.select("cid", "rep", "n", "sketch").join(rows.select("cid").distinct(), "cid", "left_semi")
-    seen = materialise(met.mapInArrow(_signature_stage, "cid long, rep long, n long, sketch binary, sig binary"))
+    met = classes.join(rows.select("cid").distinct(), "cid", "left_semi")
+    seen = materialise(met.mapInArrow(_signature_stage, "cid long, rep long, hash long, n long, sketch binary, sig binary"))
 
     def full_sets(ends: DataFrame) -> DataFrame:
         """(cid, members) of the classes named in ``ends``, from their texts."""
-        ids = materialise(seen.select("cid", "rep").join(ends, "cid"))
-        sets = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text").mapInArrow(_sets_stage, "cid long, members binary")
-        sets = sets.filter(F.length("members") > 0)
-        if repeated:  # such an id may stand for other texts; only the class's own is its set
-            named = F.udf(lambda b: class_of(np.frombuffer(b, np.uint64)), "long")
-            sets = sets.filter(named("members") == F.col("cid")).dropDuplicates(["cid"])
-        return materialise(sets)
+        ids = materialise(seen.select("cid", "rep", F.col("hash").alias("of")).join(ends, "cid"))
+        own = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("of"))
+        sets = docs.join(sized(ids), own).select("cid", "text").mapInArrow(_sets_stage, "cid long, members binary")
+        return materialise(sets.groupBy("cid").agg(F.first("members").alias("members")))  # rows may repeat
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are links, confirmed on the full sets."""
@@ -449,19 +490,19 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         Every set goes once to its cluster, or to each pair of blocks of a large one."""
         clusters = components(spanning.distinct()).withColumnRenamed("comp", "cluster")
         sets = full_sets(clusters.select("cid"))
-        sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(SMALL)).cast("int").alias("blocks"))
+        clusters = clusters.join(seen.select("cid", "n", "sig"), "cid")
+        sizes = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(MEMBERS)).cast("int").alias("blocks"))
         rows = clusters.join(sizes, "cluster").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("cluster", "cid", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
+        rows = rows.select("cluster", "cid", "comp", "n", "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
         # A block against itself has one row for each class, and so pairs within (side -1).
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-        dealt = rows.join(sets, "cid").select("cluster", "x", "y", "cid", "comp", "side", "members").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+        dealt = rows.join(sets, "cid").select("cluster", "x", "y", "cid", "comp", "side", "n", "sig", "members").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
         out = materialise(dealt.mapInArrow(_verify_stage, "a long, b long"))
         bounded_batches(spark)
         return out
 
-    repeated = small.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     links, waiting, comps = None, [], None
     for depth in range(DEPTH):
         star = _stars(rows, seen)
@@ -505,4 +546,23 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     named = classes.select("cid", "rep").join(linked, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"), F.coalesce("comp", "cid").alias("group"))
     found = small.join(named, "cid", "left")
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", *carry, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "group")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "group", "hash")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: that of the least id, or the least
+    hash of a text where ids are missing; of rows that repeat id and text, one. Rows without
+    words stay."""
+    found = materialise(near_duplicates(docs).filter("group is not null").groupBy("group", "doc_id", "hash").agg(F.count("*").alias("copies")))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("hash").alias("of"))).alias("first"))
+    kept = first.select("group", "first.id", "first.of")
+    chosen = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of"))
+    # Rows that leave the main path: those not chosen, and chosen ones that stand there more than once.
+    out = materialise(found.join(kept, "group").select("doc_id", "hash", "copies", chosen.alias("chosen")).filter("not chosen or copies > 1"))
+    whole = docs.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"), F.struct(*docs.columns).alias("doc"))
+    same = F.col("key.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key.hash") == F.col("hash"))
+    rest = whole.join(sized(out.select("doc_id", "hash")), same, "left_anti").select("doc")
+    repeated = out.filter("chosen")
+    if repeated.limit(1).count():
+        rest = rest.union(whole.join(sized(repeated.select("doc_id", "hash")), same, "left_semi").groupBy("key").agg(F.first("doc").alias("doc")).select("doc"))
+    return rest.select("doc.*")

@@ -41,7 +41,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlake.llm.neardup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("group")
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("group", "hash")
 
 
 def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
