@@ -236,10 +236,12 @@ def test_near_duplicates_equal_brute_force(spark, clashing, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("cross", [6, 10**6])
-def test_near_duplicate_families_and_large_nodes(spark, monkeypatch, cross):
+@pytest.mark.parametrize(("cross", "members", "few"), [(6, 300, 3), (10**6, 10**6, 32)])
+def test_near_duplicate_families_and_large_nodes(spark, monkeypatch, cross, members, few):
     # Chains of edits around one text, with nodes above SMALL so that branching and blocks are used.
     monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "MEMBERS", members)
+    monkeypatch.setattr(neardup, "FEW", few)
     monkeypatch.setattr(neardup, "CROSS", cross)
     monkeypatch.setattr(neardup, "DEPTH", 2)
     rng = np.random.default_rng(3)
@@ -337,6 +339,48 @@ def test_few_candidates_take_the_fallback(spark):
     assert secrets.thresholds(few[1:]) == {("hex", 40): secrets.FALLBACK}
 
 
+def brute_random(strings):
+    """Strings above their class's threshold, by a plain reading of the rule; each is the only candidate of its text."""
+    judged = {s: secrets.battery(s) for s in strings}
+    length = lambda s: max(n for n in secrets.LENGTHS if n <= len(s))
+
+    def least(group):
+        bins = [int(judged[s][1] * secrets.BINS) for s in group]
+        bins = [min(b, secrets.BINS - 1) for b in bins]
+        random = 2 * sum(b >= secrets.BINS // 2 for b in bins)
+        for lo in range(secrets.BINS):
+            total = sum(b >= lo for b in bins)
+            if random and total and total - random * (secrets.BINS - lo) / secrets.BINS <= secrets.RATE * total:
+                return lo
+        return secrets.BINS
+
+    out = set()
+    for s in judged:
+        same = [x for x in judged if judged[x][0] == judged[s][0]]
+        group = [x for x in same if length(x) == length(s)]
+        lo = least(group) if len(group) >= secrets.LEAST_CLASS else least(same) if len(same) >= secrets.LEAST_CLASS else secrets.FALLBACK
+        if min(int(judged[s][1] * secrets.BINS), secrets.BINS - 1) >= lo:
+            out.add(s)
+    return out
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda a, n, k: ["".join(rng.choice(list(a), n)) for _ in range(k)]
+    strings = draw(secrets.ALPHABETS["base62"], 40, 80) + draw("abcdefgh", 26, 60) + draw(secrets.ALPHABETS["base36"], 70, 30) + draw(secrets.ALPHABETS["base36"], 30, 30) + draw(secrets.ALPHABETS["BASE36"], 22, 5)
+    assert flagged(spark, strings + strings[:7]) == brute_random(strings)
+
+
+def test_dependent_tests_give_even_values():
+    """Evenly drawn strings have evenly spread combined values, whatever the tests have in common."""
+    import random
+
+    rng = random.Random(4)
+    for name, n in (("base62", 40), ("lower", 20), ("digits", 24)):
+        p = np.array([secrets.battery("".join(rng.choices(secrets.ALPHABETS[name], k=n)))[1] for _ in range(600)])
+        assert all(abs((p < q).mean() - q) < 0.08 for q in (0.1, 0.25, 0.5, 0.75, 0.9)), name
+
+
 def test_redaction(docs):
     out = by_id(secrets.redact(docs))
     assert out[14].text == f"x {secrets.MARK}\" y" and out[14].n_chars == len(out[14].text)

@@ -56,7 +56,8 @@ def test_toxicity_held_out_with_learned_stems(corpus):
 def test_labels_hold_alike_at_every_size(corpus, monkeypatch):
     docs, labels, _ = corpus
     held = []
-    monkeypatch.setattr(toxicity, "fit_label_model", lambda patterns, n, start, strength: held.append(strength) or start)
+    monkeypatch.setattr(toxicity, "fit_label_model", lambda shapes, voters, start, strength: held.append(strength) or start)
+    monkeypatch.setattr(toxicity, "fit_classifier", lambda *a: None)
     more = docs.unionByName(docs.crossJoin(docs.sparkSession.range(9)).drop("id").withColumn("doc_id", F.lit(None).cast("long")))
     for d in (docs, more):
         toxicity.score_toxicity(d, labels)
@@ -81,6 +82,102 @@ def test_held_out_labels_do_not_matter(spark, corpus):
     assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
 
 
+def test_held_out_toxicity_labels_do_not_matter(corpus):
+    docs, labels, _ = corpus
+    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    b = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, flipped).collect()}
+    assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+def test_label_model_equals_brute_force(spark, corpus):
+    """One round of expectation-maximisation over documents, one by one, against the summed one."""
+    docs, _, _ = corpus
+    rows = docs.limit(60).collect()
+    voters = toxicity.Voters()
+    for keys in ((" idiot ",), (" grumf",), (" the",), (" ing",), (" idiot ", " grumf")):
+        voters.add(keys, 1)
+    voters.add((" the",), 5)
+    tally = toxicity.Tally(voters)
+    votes = tally.votes(tally.counts([r.text.encode() for r in rows]))
+    n, start = len(voters.voters), toxicity.LabelModel(np.array([[0.1, 0.05, 0.3, 0.3, 0.1, 0.2], [0.6, 0.5, 0.4, 0.35, 0.7, 0.25]]), np.ones(6), 0.2)
+    strength = np.array([7.0, 3.0])
+    for row, r in zip(votes, rows):  # the votes themselves
+        count = lambda *stems: sum(any(w.startswith(s.strip()) if s[-1] != " " else w == s.strip() for s in stems) for w in toxicity.normal(r.text.encode()).split())  # noqa: E731, B023
+        assert row.tolist() == [count(" idiot ") > 0, count(" grumf") > 0, count(" the") > 0, count(" ing") > 0, count(" idiot ", " grumf") > 0, count(" the") >= 5]
+    mass, fired, both = [0.0, 0.0], np.zeros((2, n)), np.zeros((2, n, n))
+    for v in votes:
+        odds = [1 - start.prior, start.prior]
+        for k in (0, 1):
+            for j in range(n):
+                odds[k] *= start.rates[k][j] if v[j] else 1 - start.rates[k][j]
+        for k in (0, 1):
+            p = odds[k] / sum(odds)
+            mass[k] += p
+            for i in range(n):
+                fired[k, i] += p * v[i]
+                for j in range(n):
+                    both[k, i, j] += p * v[i] * v[j]
+    shapes = docs.limit(60).repartition(3).select("doc_id", "text").mapInArrow(toxicity._shape_stage(voters), "counts binary, n long")
+    got = toxicity.next_model(toxicity._sums(shapes, voters, start), start, strength)
+    want = [(fired[k] + strength[k] * start.rates[k]) / (mass[k] + strength[k]) for k in (0, 1)]
+    assert np.allclose(got.rates[0], want[0]) and np.allclose(got.rates[1], np.maximum(want[1], want[0] * 1.01))
+    assert np.isclose(got.prior, (mass[1] + 10 * 0.2) / (60 + 10))
+    weight = []
+    for i in range(n):
+        total = 0.0
+        for j in range(n):
+            rho = []
+            for k in (0, 1):
+                a, b, ab = fired[k, i] / mass[k], fired[k, j] / mass[k], both[k, i, j] / mass[k]
+                rho.append(min(1, max(0, (ab - a * b) / np.sqrt(max(a * (1 - a), 1e-12)) / np.sqrt(max(b * (1 - b), 1e-12)))))
+            total += 1.0 if i == j else max(rho) if max(rho) > 0.1 else 0.0
+        weight.append(1 / total)
+    assert np.allclose(got.weight, weight)
+
+
+def test_classifier_is_at_its_optimum(spark, corpus):
+    """The gradient of the penalised likelihood of posterior labels, summed document by document, is zero."""
+    docs, _, _ = corpus
+    voters = toxicity.Voters()
+    for keys in ((" idiot ",), (" grumf",), (" the",)):
+        voters.add(keys, 1)
+    model = toxicity.LabelModel(np.array([[0.01, 0.01, 0.3], [0.6, 0.5, 0.4]]), np.ones(3), 0.2)
+    shapes = docs.select("doc_id", "text").mapInArrow(toxicity._shape_stage(voters), "counts binary, n long")
+    b = toxicity.fit_classifier(shapes, voters, model)
+    tally, gradient = toxicity.Tally(voters), np.zeros(len(b))
+    for r in docs.collect():
+        counts = tally.counts([r.text.encode()])
+        x = toxicity.features(counts)[0]
+        p = model.posterior(tally.votes(counts).astype(float))[0]
+        gradient += x * (p - 1 / (1 + np.exp(-x @ b)))
+    assert np.abs(gradient - np.append(np.full(len(b) - 1, toxicity.RIDGE), 1e-6) * b).max() < 0.05
+
+
+def test_quality_equals_brute_force(spark, corpus):
+    """Shrunk covariances and Mahalanobis differences, computed plainly."""
+    docs, labels, truth = corpus
+    stats = quality.document_statistics(docs)
+    model = quality.fit(stats, quality.training_labels(labels, "quality"))
+    x = {r.doc_id: np.array(r.x) for r in stats.collect()}
+    own = {y: np.array([x[i] for i, q, _ in truth if q == y and not held(i, 4, 2)]) for y in (0, 1)}
+    every = np.concatenate([own[0], own[1]])
+    spread = np.sqrt(every.var(axis=0) + 0)
+    spread = np.sqrt(np.maximum(spread**2, 1e-9))
+    logs = {}
+    for y in (0, 1):
+        cov = np.cov((own[y] / spread).T, bias=True)
+        d, n = len(cov), len(own[y])
+        mu, power = np.trace(cov) / d, (cov**2).mean()
+        weight = min(1.0, (power + mu**2) / ((n + 1) * (power - mu**2 / d)))
+        shrunk = (1 - weight) * cov + (weight * mu + 1e-6) * np.eye(d)
+        mean = own[y].mean(axis=0)
+        logs[y] = {i: np.log(n / len(every)) - 0.5 * np.linalg.slogdet(shrunk)[1] - 0.5 * ((v - mean) / spread) @ np.linalg.solve(shrunk, (v - mean) / spread) for i, v in x.items()}
+    ids = list(x)
+    margin = model.margin(np.array([x[i] for i in ids]))
+    assert np.allclose(margin, [logs[1][i] - logs[0][i] for i in ids], rtol=1e-5, atol=1e-5)
+
+
 def test_language_model(spark, corpus, none, monkeypatch):
     monkeypatch.setattr(maxent, "FREQUENT", 40)  # so that rare words take the join
     docs, _, _ = corpus
