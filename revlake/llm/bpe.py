@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 from revlake.llm.common import batches, bounded_batches
 
 #: Entries of each table of remembered pieces and words. A full table becomes the
-#: older of two, from which what is used again moves to the new one.
-REMEMBERED = 450_000
+#: older of two, from which what is used again moves to the new one. An entry takes some
+#: 200 bytes, and there are four tables a worker.
+REMEMBERED = 150_000
 
 #: The vocabulary's own split pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -72,7 +73,8 @@ class OffsetTable:
 class Encoder:
     END = "</w>"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path, vocab = path, spec["model"]["vocab"]
@@ -124,7 +126,7 @@ class Encoder:
         key = a << 20 | b
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > REMEMBERED:
+            if len(self.fits) > self.remembered:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(a, b, len(self.length))
         return known
@@ -214,7 +216,7 @@ class Encoder:
                         ids = self.older_words.get(w)
                         if ids is None:
                             ids = array("I", self.word(w)).tobytes()
-                        if len(self.words) > REMEMBERED:
+                        if len(self.words) > self.remembered:
                             self.older_words, self.words = self.words, {}
                         if len(w) <= 64:
                             self.words[w] = ids
@@ -236,7 +238,7 @@ class Encoder:
             ids = self.pieces.get(p) or self.older_pieces.get(p)
             if ids is None:
                 ids = self.piece(p)
-            if len(self.pieces) > REMEMBERED:
+            if len(self.pieces) > self.remembered:
                 self.older_pieces, self.pieces = self.pieces, {}
             if len(p) <= 64:
                 self.pieces[p] = ids
@@ -247,8 +249,8 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, remembered)
 
 
 def default_vocabulary() -> str:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
+#: Rows of a decoded batch of a Parquet scan: with whole texts, the usual 4096 are arrays of many MiB.
+READ_ROWS = 512
 #: Bytes that a Parquet writer of intermediate tables holds before it writes them out.
 ROW_GROUP = 16 << 20
 
@@ -35,7 +37,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; very long texts make smaller batches."""
+    """Bound what one Arrow batch holds, and the rows that a scan decodes at once; very long texts make smaller batches."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

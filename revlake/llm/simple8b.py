@@ -33,6 +33,8 @@ ESCAPE = 15
 BLOCK = 1 << 16
 #: Bytes of text whose tokens make one segment, if more than one document.
 SEGMENT_BYTES = 2 << 20
+#: Pieces and words that the encoder remembers (see there): more, as writing needs the time.
+REMEMBERED = 450_000
 
 
 def _fits(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +132,7 @@ def _segments(vocabulary: str | None, end_id: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, seq, before = encoder(vocabulary or default_vocabulary()), TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, before = encoder(vocabulary or default_vocabulary(), REMEMBERED), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         for batch, texts in batches(it, SEGMENT_BYTES):
             coded = [enc.encode(t) + end for t in texts]
