@@ -57,9 +57,11 @@ def checksum(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
-@F.pandas_udf(T.LongType())
-def checksum_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else checksum(x.encode() if isinstance(x, str) else bytes(x)))
+def checksum_column(c: Column) -> Column:
+    """``checksum`` of a string's bytes, by a table of constants."""
+    table = F.array(*[F.lit(x).cast("long") for x in _CRC])
+    step = lambda h, x: F.element_at(table, (h.bitwiseXOR(x).bitwiseAND(F.lit(255).cast("long")) + 1).cast("int")).bitwiseXOR(F.shiftright(h, 8))
+    return F.when(c.isNotNull(), F.aggregate(byte_values(c), F.lit(0).cast("long"), step, lambda h: h.bitwiseXOR(F.lit(0xFFFFFFFF).cast("long"))))
 
 
 def varint(n: int) -> bytes:
@@ -74,6 +76,45 @@ def unvarint(data: bytes) -> int:
     return sum((b & 127) << 7 * i for i, b in enumerate(data))
 
 
+def varint_hex(x: Column) -> Column:
+    """An unsigned varint as hex digits: seven bits a byte, lowest first, the top bit while more follow."""
+    n = varint_length(x).cast("int")
+    digits = F.transform(F.sequence(F.lit(1), n), lambda i: F.lpad(F.hex(F.pmod(F.floor(x / F.pow(F.lit(128.0), i - 1)).cast("long"), F.lit(128)) + F.when(i < n, 128).otherwise(0)), 2, "0"))
+    return F.lower(F.array_join(digits, ""))
+
+
+def unvarint_hex(h: Column) -> Column:
+    """The number of an unsigned varint in hex digits."""
+    digits = F.transform(F.sequence(F.lit(0), (F.length(h) / 2 - 1).cast("int")), lambda i: F.struct(i.alias("i"), F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long").alias("b")))
+    return F.aggregate(digits, F.lit(0).cast("long"), lambda s, d: s + d["b"].bitwiseAND(F.lit(127).cast("long")) * F.pow(F.lit(128.0), d["i"]).cast("long"))
+
+
+def u64_little_endian_hex(x: Column) -> Column:
+    """Eight bytes, lowest first, as hex digits."""
+    h = F.lpad(F.hex(x.cast("long")), 16, "0")
+    return F.lower(F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(8)]))
+
+
+def msgpack_text_hex(c: Column) -> Column:
+    """A string in MessagePack, as hex digits; null is nil."""
+    n, data = F.octet_length(c), F.hex(F.encode(c, "UTF-8"))
+    wide = lambda k: F.lpad(F.hex(n), k, "0")
+    head = F.when(n < 32, F.hex(n + 0xA0)).when(n < 256, F.concat(F.lit("D9"), wide(2))).when(n < 65536, F.concat(F.lit("DA"), wide(4))).otherwise(F.concat(F.lit("DB"), wide(8)))
+    return F.lower(F.when(c.isNull(), F.lit("C0")).otherwise(F.concat(head, data)))
+
+
+def msgpack_long_hex(x: Column) -> Column:
+    """A whole number from 0 on in MessagePack, as hex digits; null is nil."""
+    wide = lambda k: F.lpad(F.hex(x.cast("long")), k, "0")
+    sized = F.when(x < 128, wide(2)).when(x < 256, F.concat(F.lit("CC"), wide(2))).when(x < 65536, F.concat(F.lit("CD"), wide(4))).when(x < 2**32, F.concat(F.lit("CE"), wide(8))).otherwise(F.concat(F.lit("CF"), wide(16)))
+    return F.lower(F.when(x.isNull(), F.lit("C0")).otherwise(sized))
+
+
+def msgpack_map_hex(**fields: Column) -> Column:
+    """A map of fewer than 16 encoded fields, in the order given."""
+    return F.concat(F.lit(f"8{len(fields):x}"), *[x for name, c in fields.items() for x in (msgpack_text_hex(F.lit(name)), c)])
+
+
 @F.pandas_udf(T.BooleanType())
 def worth_compressing(s: pd.Series) -> pd.Series:
     """Values above 128 bytes whose first KiB deflates to 0.9 or less."""

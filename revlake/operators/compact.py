@@ -7,6 +7,9 @@ hundred megabytes, so plans over them may use one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,18 +117,33 @@ def merge_history(rows: DataFrame, active_rev: int) -> DataFrame:
 
 def split_by_size(rows: DataFrame, by: str, limit: int = MAX_RUN_BYTES) -> DataFrame:
     """Entries of each ``by`` group in key order cut greedily into outputs of at most
-    ``limit`` bytes; an entry that is larger has one of its own."""
-    state = "struct<n:bigint,used:bigint,out:array<struct<key:string,rev:bigint,size:bigint,part:bigint>>>"
-
-    def step(s, e):
-        fits = (s["used"] + e["size"] <= limit) | (s["used"] == 0)
-        n = F.when(fits, s["n"]).otherwise(s["n"] + 1)
-        used = F.when(fits, s["used"] + e["size"]).otherwise(e["size"])
-        return F.struct(n.alias("n"), used.alias("used"), F.concat(s["out"], F.array(F.struct(e["key"].alias("key"), e["rev"].alias("rev"), e["size"].alias("size"), n.alias("part")))).alias("out")).cast(state)
-
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<key:string,rev:bigint,size:bigint,part:bigint>>").alias("out")).cast(state)
-    ordered = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("key", "rev", entry_bytes().alias("size")))).alias("e"))
-    return ordered.select(by, F.explode(F.aggregate("e", start, step, lambda s: s["out"])).alias("o")).groupBy(by, F.col("o.part").alias("part")).agg(F.min("o.key").alias("min_key"), F.max("o.key").alias("max_key"), F.sum("o.size").alias("size"), F.count("*").alias("entries"))
+    ``limit`` bytes; an entry that is larger has one of its own. One pass over the sorted
+    entries holds the output at hand."""
+    kind = rows.schema[by].dataType.simpleString()
+    ordered = rows.select(F.col(by).alias("by"), "key", "rev", entry_bytes().alias("size")).repartition("by").sortWithinPartitions("by", "key", "rev")
+    names = ("by", "part", "min_key", "max_key", "size", "entries")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: list | None = None
+        for batch in it:
+            done, kind = [], batch.schema.field("by").type
+            for group, key, size in zip(*(batch.column(c).to_pylist() for c in ("by", "key", "size"))):
+                if at is not None and at[0] == group and at[4] + size <= limit:
+                    at[3], at[4], at[5] = key, at[4] + size, at[5] + 1
+                    continue
+                if at is not None:
+                    done.append(at)
+                at = [group, at[1] + 1 if at is not None and at[0] == group else 0, key, key, size, 1]
+            if done:
+                yield _columns(done, kind)
+        if at is not None:
+            yield _columns([at], kind)
+
+    def _columns(done: list[list], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = (kind, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=list(names))
+
+    return ordered.mapInArrow(run, f"by {kind}, part long, min_key string, max_key string, size long, entries long").withColumnRenamed("by", by)
 
 
 def level_targets(levels: int, base: int = LEVEL_BASE, factor: int = LEVEL_FACTOR) -> list[int]:
@@ -135,3 +153,8 @@ def level_targets(levels: int, base: int = LEVEL_BASE, factor: int = LEVEL_FACTO
 def bloom_bits(average_key_bytes: Column) -> Column:
     """Bloom bits a key by key length, from 6 to 18."""
     return F.greatest(F.lit(6), F.least(F.lit(18), F.round(average_key_bytes / 8) + 6)).cast("long")
+
+
+def file_bytes(blocks: Column, keys: Column, key_bytes: Column, bits: int = 10) -> Column:
+    """Size of a run's file: header, blocks, an index entry for each key, the bloom filter and the footer."""
+    return (F.lit(5) + blocks + key_bytes + keys * 12 + F.ceil(keys * bits / 8) + 28).cast("long")

@@ -20,8 +20,9 @@ def postings(keys: DataFrame) -> DataFrame:
 
 
 def build(keys: DataFrame) -> DataFrame:
-    """gram, its keys in order, and how many."""
-    return postings(keys).groupBy("gram").agg(F.sort_array(F.collect_set("key")).alias("keys")).withColumn("n", F.size("keys").cast("long"))
+    """The index as rows: gram, key, and n, how many keys have the gram. A frequent gram is many rows, not one long one."""
+    rows = postings(keys)
+    return rows.join(rows.groupBy("gram").agg(F.count("*").alias("n")), "gram").select("gram", "key", "n")
 
 
 def contains(index: DataFrame, keys: DataFrame, pattern: str) -> DataFrame:

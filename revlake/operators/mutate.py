@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,28 +53,44 @@ def cas_check(log: DataFrame, attempts: DataFrame) -> DataFrame:
     return attempts.join(now, "key", "left").withColumn("ok", F.col("expected_rev").eqNullSafe(F.col("current_rev")))
 
 
+def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Attempts in order of key and seq; only the revision of the key at hand is kept."""
+    key, rev, begun = None, None, False
+    for batch in it:
+        out_ok, out_rev = [], []
+        for k, seq, expected in zip(*(batch.column(c).to_pylist() for c in ("key", "seq", "expected_rev"))):
+            if not begun or k != key:
+                key, rev, begun = k, None, True
+            ok = expected == rev
+            rev = seq + 1 if ok else rev
+            out_ok.append(ok)
+            out_rev.append(rev)
+        yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "seq": batch.column("seq"), "ok": pa.array(out_ok, pa.bool_()), "rev_after": pa.array(out_rev, pa.int64())})
+
+
 def cas_fold(attempts: DataFrame) -> DataFrame:
     """Attempts (seq, key, expected_rev) one after another within each key from an empty
     store; an attempt that succeeds makes revision seq + 1. The outcome of one depends
-    on those before it on the same key alone, so keys are folded side by side."""
-    state = "struct<rev:bigint,out:array<struct<seq:bigint,ok:boolean,rev:bigint>>>"
-
-    def step(s, a):
-        ok = a["expected_rev"].eqNullSafe(s["rev"])
-        rev = F.when(ok, a["seq"] + 1).otherwise(s["rev"])
-        return F.struct(rev.alias("rev"), F.concat(s["out"], F.array(F.struct(a["seq"].alias("seq"), ok.alias("ok"), rev.alias("rev")))).alias("out")).cast(state)
-
-    start = F.struct(F.lit(None).cast("long").alias("rev"), F.array().cast("array<struct<seq:bigint,ok:boolean,rev:bigint>>").alias("out")).cast(state)
-    ordered = attempts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "expected_rev"))).alias("a"))
-    folded = ordered.select("key", F.explode(F.aggregate("a", start, step, lambda s: s["out"])).alias("r"))
-    return folded.select("key", "r.seq", "r.ok", F.col("r.rev").alias("rev_after"))
+    on those before it on the same key alone, so keys are folded side by side, each in
+    one pass over its sorted attempts that holds a single revision."""
+    ordered = attempts.select("key", F.col("seq").cast("long").alias("seq"), F.col("expected_rev").cast("long").alias("expected_rev")).repartition("key").sortWithinPartitions("key", "seq")
+    return ordered.mapInArrow(_fold, "key string, seq long, ok boolean, rev_after long")
 
 
 def tx_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("tx_id").agg(F.count("*").alias("ops"), F.min("rev").alias("first_rev"), F.max("rev").alias("last_rev"), F.countDistinct("key").alias("n_keys"))
 
 
-def rev_runs(log: DataFrame, by: str) -> DataFrame:
-    """Runs of consecutive revisions within each ``by``."""
-    w = Window.partitionBy(by).orderBy("rev")
-    return log.withColumn("run", F.col("rev") - F.row_number().over(w)).groupBy(by, "run").agg(F.min("rev").alias("first_rev"), F.max("rev").alias("last_rev"), F.count("*").alias("n")).drop("run")
+def rev_runs(log: DataFrame, by: str, segment: int = 100_000) -> DataFrame:
+    """Runs of consecutive revisions within each ``by``. Runs are found within segments of
+    revisions; only those that touch a border go on to be joined across segments, so a
+    frequent ``by`` is no single task's work."""
+    rows = log.select(F.col(by).alias("by"), "rev", F.expr(f"rev div {segment}").alias("segment"))
+    own = F.col("rev") - F.row_number().over(Window.partitionBy("by", "segment").orderBy("rev"))
+    runs = rows.withColumn("run", own).groupBy("by", "segment", "run").agg(F.min("rev").alias("first_rev"), F.max("rev").alias("last_rev"), F.count("*").alias("n"))
+    border = (F.col("first_rev") % segment == 0) | ((F.col("last_rev") + 1) % segment == 0)
+    w = Window.partitionBy("by").orderBy("first_rev")
+    starts = runs.filter(border).withColumn("starts", F.coalesce(F.lag("last_rev").over(w) + 1 != F.col("first_rev"), F.lit(True)).cast("long"))
+    chained = starts.withColumn("chain", F.sum("starts").over(w)).groupBy("by", "chain").agg(F.min("first_rev").alias("first_rev"), F.max("last_rev").alias("last_rev"), F.sum("n").alias("n"))
+    out = [F.col("by").alias(by), "first_rev", "last_rev", "n"]
+    return runs.filter(~border).select(*out).union(chained.select(*out))

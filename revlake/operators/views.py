@@ -47,6 +47,13 @@ def kway_merge(runs: list[DataFrame]) -> DataFrame:
     return every.groupBy("key").agg(F.max_by(F.struct("rev", "value", "run_idx"), rank).alias("w"), (F.count("*") - 1).alias("candidates")).select("key", "w.rev", "w.value", "w.run_idx", "candidates")
 
 
+def candidates(runs: list[DataFrame]) -> DataFrame:
+    """The versions that ``kway_merge`` passes over, as rows: key, rev, value, run_idx."""
+    every = reduce(DataFrame.unionByName, [r.withColumn("run_idx", F.lit(i)) for i, r in enumerate(runs)])
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.coalesce("rev", F.lit(-1))), F.desc("run_idx")))
+    return every.withColumn("rank", rank).filter("rank > 1").select("key", "rev", "value", "run_idx")
+
+
 def multi_get(log: DataFrame, keys: DataFrame, rev: int | None = None) -> DataFrame:
     """The live value of every key of ``keys``, null where there is none. Only versions
     of wanted keys are aggregated."""

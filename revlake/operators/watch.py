@@ -1,8 +1,8 @@
 """Subscriptions over a log in batch form: matching, once, replay and resume.
 
-``subs`` has id, type, pattern, once, last_seen_rev. A subscription table is small
-by nature, and one below a checked count is broadcast; a larger one joins by key
-for exact patterns and by condition for the rest.
+``subs`` has id, type, pattern, once, last_seen_rev. Matching is one hash join whatever
+the number of subscriptions: each has a token, an event has the tokens of the kinds and
+lengths that occur, and substrings found by a gram are verified.
 """
 
 from __future__ import annotations
@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_SUBS = 100_000
-
-
 def matches() -> Column:
     key, pattern = F.col("key"), F.col("pattern")
     return (
@@ -25,17 +22,46 @@ def matches() -> Column:
     )
 
 
+#: Parts that subscriptions to everything are dealt to, and characters of a gram.
+SALTS, GRAM = 16, 3
+
+
+def _tokens(subs: DataFrame) -> DataFrame:
+    """``subs`` with the kind and the token by which events find them."""
+    size, everything = F.length("pattern"), (F.col("type") == "all") | (F.col("type").isin("prefix", "suffix", "contains") & (F.col("pattern") == ""))
+    kind = F.when(everything, F.lit("all")).otherwise(F.col("type"))
+    size = F.when(kind.isin("all", "exact"), 0).when(kind == "contains", F.least(size, F.lit(GRAM))).otherwise(size)
+    usable = subs.withColumns({"kind": kind, "size": size}).filter(everything | (F.col("type").isin("exact", "prefix", "suffix", "contains") & F.col("pattern").isNotNull()))
+    own = F.array(F.when(F.col("kind") == "contains", F.expr("left(pattern, size)")).otherwise(F.col("pattern")))
+    salts = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: i.cast("string"))
+    return usable.withColumn("token", F.explode(F.when(F.col("kind") == "all", salts).otherwise(own)))
+
+
+def matched(log: DataFrame, subs: DataFrame) -> DataFrame:
+    """id, once, last_seen_rev, key, rev, value of every event and subscription that match."""
+    tokens = _tokens(subs.select("id", "type", "pattern", "once", "last_seen_rev"))
+    # At most a row for each kind and length of a pattern.
+    shapes = sorted((r["kind"], r["size"]) for r in tokens.select("kind", "size").distinct().collect())
+    key, found = F.col("key"), []
+    for kind, size in shapes:
+        if kind == "contains":
+            grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - (size - 1))), lambda i: F.substring(key, i, F.lit(size)))  # noqa: B023
+            found.append(F.transform(F.array_distinct(grams), lambda g: F.struct(F.lit("contains").alias("kind"), g.alias("token"))))
+        else:
+            token = {"all": F.pmod(F.xxhash64("key", "rev"), F.lit(SALTS)).cast("string"), "exact": key, "prefix": F.left(key, F.lit(size)), "suffix": F.right(key, F.lit(size))}[kind]
+            found.append(F.array(F.struct(F.lit(kind).alias("kind"), token.alias("token"))))
+    if not found:
+        return log.limit(0).join(subs.limit(0).select("id", "once", "last_seen_rev").withColumn("key", F.lit(None).cast("string")), "key").select("id", "once", "last_seen_rev", "key", "rev", "value")
+    events = log.select("key", "rev", "value", F.explode(F.array_distinct(F.concat(*found))).alias("t")).select("key", "rev", "value", "t.*")
+    both = events.join(tokens, ["kind", "token"])
+    sure = (F.col("kind") != "contains") | F.contains("key", "pattern")
+    return both.filter(sure & ((F.col("kind") == "all") | matches())).select("id", "once", "last_seen_rev", "key", "rev", "value")
+
+
 def deliveries(log: DataFrame, subs: DataFrame) -> DataFrame:
     """Every event with every subscription it matches; once-subscriptions take their first."""
-    subs = subs.select("id", "type", "pattern", "once", "last_seen_rev")
-    if subs.limit(BROADCAST_SUBS + 1).count() <= BROADCAST_SUBS:
-        found = log.join(F.broadcast(subs), matches())
-    else:
-        exact = log.join(subs.filter("type = 'exact'"), F.col("key") == F.col("pattern"))
-        found = exact.union(log.join(subs.filter("type <> 'exact'"), matches()))
-    found = found.select("id", "once", "last_seen_rev", "key", "rev", "value")
-    first = found.filter("once").groupBy("id").agg(F.min_by(F.struct("once", "last_seen_rev", "key", "rev", "value"), "rev").alias("f")).select("id", "f.*")
-    return found.filter("not once").union(first)
+    first = matched(log, subs.filter("once")).groupBy("id").agg(F.min_by(F.struct("once", "last_seen_rev", "key", "rev", "value"), "rev").alias("f")).select("id", "f.*")
+    return matched(log, subs.filter("not once")).union(first)
 
 
 def replay(log: DataFrame, min_rev: int | None = None, min_offset: int | None = None) -> DataFrame:
@@ -63,3 +89,14 @@ def export(log: DataFrame, subs: DataFrame) -> DataFrame:
     seen = last_seen(log, subs).withColumnRenamed("last_seen_rev", "now")
     fired = deliveries(log, subs.filter("once")).select("id").distinct()
     return subs.join(fired, "id", "left_anti").join(seen, "id").select("id", "type", "pattern", "once", F.col("now").alias("last_seen_rev"))
+
+
+def restore(spark, rows: DataFrame) -> DataFrame:
+    """The subscriptions that ``export`` gave, as they came back from storage; a row without id or type is left out."""
+    return rows.filter("id is not null and type is not null").select(F.col("id").cast("long").alias("id"), "type", "pattern", F.coalesce(F.col("once").cast("boolean"), F.lit(False)).alias("once"), F.col("last_seen_rev").cast("long").alias("last_seen_rev"))
+
+
+def monitor(log: DataFrame, last: int, since: int) -> DataFrame:
+    """The tail of a log and all that came after revision ``since``, each event once."""
+    tail = log.filter(F.col("rev") <= since).orderBy(F.desc("rev")).limit(last)
+    return tail.unionByName(log.filter(F.col("rev") > since))

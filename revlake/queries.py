@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.functions import scalars as fn
-from revlake.operators import compact, index, lease, mutate, scan, views, watch
+from revlake.operators import bloom, compact, index, lease, mutate, scan, views, watch
 from revlake.sources import changelog as cl
+from revlake.sources import wal
+from revlake.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +63,26 @@ def log_of(spark: SparkSession, sf: str) -> DataFrame:
     return cl.changelog(spark, sf)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="revlake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/revlake-{uuid.uuid4().hex}"
+
+
+def store_of(spark: SparkSession, sf: str, batches: int = 3, **options) -> Store:
+    """The changelog as a store: so many flushes by revision."""
+    log = log_of(spark, sf)
+    store = Store(spark, folder(spark), log.schema, **options)
+    for k in range(batches):
+        store.flush(log.filter(F.expr(f"rev div 250 % {batches} = {k}")))
+    return store
+
+
 def subs_of(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SUBS, "id long, type string, pattern string, once boolean, last_seen_rev long")
 
@@ -80,9 +104,9 @@ def kv_get(s, d):
     return key_rev_value(views.get(log_of(s, d), "click:0007"))
 
 
-@query("SELECT key, rev, value, created_at_ms, lease_id, tx_id, sst_id FROM newest WHERE key = 'view:0003'")
+@query("SELECT n.key, n.rev, n.value, n.created_at_ms, n.lease_id, n.tx_id, n.sst_id, w.wal_end FROM newest n JOIN wal w ON n.rev = w.rev WHERE n.key = 'view:0003'")
 def kv_get_with_meta(s, d):
-    return views.newest(log_of(s, d).filter("key = 'view:0003'")).select("key", "rev", "value", "created_at_ms", "lease_id", "tx_id", "sst_id")
+    return views.newest(cl.with_offsets(log_of(s, d)).filter("key = 'view:0003'")).select("key", "rev", "value", "created_at_ms", "lease_id", "tx_id", "sst_id", "wal_end")
 
 
 @query("SELECT key, rev, value FROM past WHERE key = 'click:0007' AND value IS NOT NULL")
@@ -154,6 +178,12 @@ def kway_merge(s, d):
     return views.kway_merge([log.filter(F.col("rev") % 3 == k) for k in range(3)]).withColumn("run_idx", F.col("run_idx").cast("long"))
 
 
+@query("SELECT l.key, l.rev, l.value, CAST(l.rev % 3 AS BIGINT) AS run_idx FROM ranked l WHERE version > 1")
+def kway_candidates(s, d):
+    log = key_rev_value(log_of(s, d))
+    return views.candidates([log.filter(F.col("rev") % 3 == k) for k in range(3)]).withColumn("run_idx", F.col("run_idx").cast("long"))
+
+
 @query("SELECT coalesce(a.key, b.key) AS key, a.value AS old_value, b.value AS new_value FROM (SELECT * FROM past WHERE value IS NOT NULL) a FULL JOIN live b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value")
 def snapshot_diff(s, d):
     return views.snapshot_diff(log_of(s, d), REV, 10**12)
@@ -213,9 +243,9 @@ def keys_of(s, d):
     return log_of(s, d).select("key").distinct()
 
 
-@query(f"SELECT gram, string_agg(key, ',' ORDER BY key) AS keys, count(*) AS n FROM ({GRAMS}) GROUP BY gram")
+@query(f"SELECT gram, key, count(*) OVER (PARTITION BY gram) AS n FROM ({GRAMS})")
 def ngram_index(s, d):
-    return index.build(keys_of(s, d)).withColumn("keys", F.array_join("keys", ","))
+    return index.build(keys_of(s, d))
 
 
 @query(f"SELECT gram, count(*) AS df FROM ({GRAMS}) GROUP BY gram")
@@ -339,19 +369,121 @@ def recover_merge(s, d):
     return views.latest(flushed.union(log.filter("rev > 500")))
 
 
-@query("SELECT key, rev, value FROM newest WHERE key >= 'cart:0002' AND key <= 'click:0008'")
+@query("SELECT key, rev, value FROM newest")
 def rebuild_range(s, d):
-    lost = scan.key_range(log_of(s, d), "cart:0002", "click:0008\0")
-    return key_rev_value(views.latest(lost, True))
+    """One run of a store is overwritten, another deleted; both are found, put aside and made again from the log."""
+    store, log = store_of(s, d), log_of(s, d)
+    runs = sorted(store.runs(), key=lambda r: r["file"])
+    for run, content in ((runs[0], b"no longer a run"), (runs[-1], None)):
+        if content is None:
+            store._fs.delete(store._path(run["file"]), False)
+        else:
+            out = store._fs.create(store._path(run["file"]), True)
+            out.write(bytearray(content))
+            out.close()
+    if store.repair(log) < min(2, len(runs)):
+        raise ValueError("damage was not found")
+    return key_rev_value(views.latest(store.read(), True))
+
+
+@query("SELECT key, rev, value FROM log WHERE rev <= 1000 OR rev > 1500")
+def wal_tail_repair(s, d):
+    """Segments of 500 records; of one, the records from 1001 on are torn and cut off."""
+    path, log = folder(s), log_of(s, d)
+    wal.append(log, path, 500)
+    torn = dict(wal._folders(s, path)).get(1001)
+    if torn:
+        lines = s.read.text(torn)
+        place = F.get_json_object(F.substring("value", 10, 2**30), "$.place").cast("int")
+        new = f"{path}/.torn"
+        lines.select(F.when(place >= 0, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value")).alias("value")).write.text(new)
+        target, fs = s._jvm.org.apache.hadoop.fs.Path(torn), s._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(s._jsc.hadoopConfiguration())
+        fs.delete(target, True)
+        fs.rename(s._jvm.org.apache.hadoop.fs.Path(new), target)
+        if wal.repair(s, path) != 1:
+            raise ValueError("the torn tail was not found")
+    return wal.read(s, path).select("key", "rev", "value")
+
+
+@query("SELECT key, rev, value, lease_id FROM log WHERE rev > 500 AND rev >= 700")
+def wal_append_truncate(s, d):
+    """The log as compressed segments, the first one deleted, read from a revision."""
+    path = folder(s)
+    wal.append(log_of(s, d), path, 500, "gzip")
+    wal.truncate(s, path, 600)
+    return wal.read(s, path, 700).select("key", "rev", "value", "lease_id")
+
+
+@query("SELECT CAST((rev - 1) // 500 * 500 + 1 AS BIGINT) AS segment, count(*) AS lines FROM log GROUP BY ALL")
+def wal_segments(s, d):
+    path = folder(s)
+    wal.append(log_of(s, d), path, 500)
+    return wal.inspect(s, path).select("segment", "lines")
+
+
+# The store -----------------------------------------------------------------------------------
+
+@query("SELECT key, rev, value FROM live WHERE key = 'click:0007'")
+def store_get(s, d):
+    return key_rev_value(store_of(s, d).get("click:0007"))
+
+
+@query("SELECT key, rev, value FROM live WHERE key LIKE 'click:%'")
+def store_range_prefix(s, d):
+    return key_rev_value(views.latest(store_of(s, d).read("click:", "click;")))
+
+
+@query("SELECT key, rev, value FROM log WHERE key >= 'cart:0005' AND key < 'click:0010'")
+def store_run_iterator(s, d):
+    return key_rev_value(store_of(s, d).read("cart:0005", "click:0010"))
+
+
+@query("SELECT DISTINCT key FROM log WHERE contains(key, 'ick:00')")
+def store_contains(s, d):
+    store = store_of(s, d)
+    return store.contains(store.build_index(), "ick:00")
+
+
+@query("SELECT key, rev, value FROM newest")
+def store_compacted(s, d):
+    """Levels compacted until each is within its target: no version of a key is lost or kept twice."""
+    store = store_of(s, d, level_base=1024)
+    store.compact_levels(limit=4096, rounds=12)
+    return key_rev_value(views.latest(store.read(), True))
 
 
 # Leases ---------------------------------------------------------------------------------
 
-@query("SELECT g.lease_id, g.expires_at_ms, count(h.key) AS n_keys, coalesce(string_agg(h.key, ',' ORDER BY h.key), '') AS keys FROM granted g LEFT JOIN held h ON g.lease_id = h.lease_id GROUP BY ALL")
+@query("SELECT g.lease_id, g.expires_at_ms, coalesce(c.n_keys, 0) AS n_keys, h.key FROM granted g LEFT JOIN (SELECT lease_id, count(*) AS n_keys FROM held GROUP BY lease_id) c ON g.lease_id = c.lease_id LEFT JOIN held h ON g.lease_id = h.lease_id")
 def lease_info(s, d):
     return lease.info(log_of(s, d))
 
 
+#: Lease operations that the events stand for: most attach, some grant, renew or revoke.
+LEASE_OPS = """, ops AS (SELECT rev AS seq, CASE WHEN rev % 11 = 1 THEN 'grant' WHEN rev % 11 = 5 THEN 'renew' WHEN rev % 97 = 13 THEN 'revoke' ELSE 'attach' END AS op,
+  CASE WHEN rev % 11 = 1 OR rev % 11 = 5 THEN rev % 13 ELSE rev % 17 END AS lease_id, key, CASE WHEN rev % 2 = 0 THEN 0 ELSE 3600000 END AS ttl_ms, created_at_ms AS at_ms FROM log),
+made AS (SELECT lease_id, min(seq) FILTER (op = 'grant') AS granted, min(seq) FILTER (op = 'revoke') AS revoked_at FROM ops GROUP BY lease_id HAVING count(*) FILTER (op = 'grant') > 0),
+state AS (SELECT o.lease_id, arg_max(CASE WHEN op IN ('grant', 'renew') THEN at_ms + greatest(1, ttl_ms) END, CASE WHEN op IN ('grant', 'renew') THEN seq END) AS expires_at_ms, bool_or(m.revoked_at IS NOT NULL) AS revoked, count(DISTINCT CASE WHEN op = 'attach' THEN key END) AS n_keys
+  FROM ops o JOIN made m ON o.lease_id = m.lease_id WHERE seq >= granted AND (revoked_at IS NULL OR seq <= revoked_at) GROUP BY o.lease_id)
+"""
+
+
+def lease_ops(s, d):
+    rev = F.col("rev")
+    op = F.when(rev % 11 == 1, "grant").when(rev % 11 == 5, "renew").when(rev % 97 == 13, "revoke").otherwise("attach")
+    return log_of(s, d).select(rev.alias("seq"), op.alias("op"), F.when((rev % 11 == 1) | (rev % 11 == 5), rev % 13).otherwise(rev % 17).alias("lease_id"), "key", F.when(rev % 2 == 0, 0).otherwise(3_600_000).cast("long").alias("ttl_ms"), F.col("created_at_ms").alias("at_ms"))
+
+
+@query(f"{LEASE_OPS} SELECT * FROM state")
+def lease_operations(s, d):
+    return lease.after(lease_ops(s, d))
+
+
+@query(f"{LEASE_OPS} SELECT lease_id, 'grant' AS event, CAST(0 AS BIGINT) AS n_keys FROM state UNION ALL SELECT * FROM (SELECT lease_id, CASE WHEN revoked THEN 'revoke' WHEN expires_at_ms <= {NOW} AND n_keys > 0 THEN 'evict' WHEN expires_at_ms <= {NOW} THEN 'expire' END AS event, n_keys FROM state) WHERE event IS NOT NULL")
+def lease_operation_events(s, d):
+    return lease.operation_events(lease_ops(s, d), NOW)
+
+
 @query("SELECT l.key, l.rev, l.lease_id, g.expires_at_ms FROM log l JOIN granted g ON l.lease_id = g.lease_id WHERE l.value IS NOT NULL")
 def lease_keys_join(s, d):
     log = log_of(s, d)
@@ -516,10 +648,30 @@ def bloom_bits(s, d):
     return log_of(s, d).groupBy("sst_id").agg(F.avg(F.octet_length("key")).alias("a")).select("sst_id", compact.bloom_bits(F.col("a")).alias("bits"))
 
 
-@query(f"SELECT p.key, l.key IS NOT NULL AS present FROM {PROBES} p LEFT JOIN (SELECT DISTINCT key FROM log) l ON p.key = l.key")
-def bloom_no_false_negative(s, d):
-    keys = keys_of(s, d).withColumn("present", F.lit(True))
-    return probe_keys(s, d).join(keys, "key", "left").select("key", F.coalesce("present", F.lit(False)).alias("present"))
+@query(f"SELECT DISTINCT p.key, l.sst_id FROM {PROBES} p JOIN log l ON p.key = l.key")
+def bloom_membership(s, d):
+    """Runs that hold each key: filters are built for all runs, probed with every key and run
+    whose range allows it, and what passes is confirmed. A false negative would lose a row."""
+    entries = log_of(s, d).select(F.col("sst_id").alias("run"), "key").distinct()
+    ranges = entries.groupBy("run").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    asked = probe_keys(s, d).join(F.broadcast(ranges), F.col("key").between(F.col("lo"), F.col("hi"))).select("run", "key")
+    maybe = bloom.probe(bloom.build(entries), asked)
+    return maybe.join(entries, ["run", "key"], "left_semi").select("key", F.col("run").alias("sst_id"))
+
+
+@query("SELECT CAST(5000 AS BIGINT) AS probes, true AS below_six_percent")
+def bloom_false_positive_rate(s, d):
+    """Keys that no run holds, against the filter of all keys."""
+    filters = bloom.build(keys_of(s, d).select(F.lit(0).alias("run"), "key"))
+    absent = s.range(5000).select(F.lit(0).alias("run"), F.concat(F.lit("absent:"), F.col("id").cast("string")).alias("key"))
+    hits = bloom.probe(filters, absent).agg(F.count("*").alias("hits"))
+    return hits.select(F.lit(5000).cast("long").alias("probes"), (F.col("hits") < 300).alias("below_six_percent"))
+
+
+@query("SELECT sst_id, CAST(5 + sum(size) + sum(strlen(key)) + 12 * count(*) + ceil(count(*) * 10 / 8) + 28 AS BIGINT) AS file_bytes FROM sized GROUP BY sst_id")
+def file_sizes(s, d):
+    per = log_of(s, d).groupBy("sst_id").agg(F.sum(compact.entry_bytes()).alias("b"), F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("k"))
+    return per.select("sst_id", compact.file_bytes(F.col("b"), F.col("n"), F.col("k")).alias("file_bytes"))
 
 
 @query()
@@ -586,6 +738,23 @@ def watch_last_seen(s, d):
     return watch.last_seen(log_of(s, d), subs_of(s))
 
 
+@query("SELECT rev, key FROM log WHERE rev > (SELECT max(rev) - 50 FROM log) - 100")
+def watch_monitor(s, d):
+    log = log_of(s, d)
+    since = (log.agg(F.max("rev")).head()[0] or 0) - 50
+    return watch.monitor(log, 100, since).select("rev", "key")
+
+
+@query("SELECT CAST(id AS BIGINT) AS id, type, pattern, once, CAST(last_seen_rev AS BIGINT) AS last_seen_rev FROM subs")
+def subs_restore(s, d):
+    """Subscriptions kept as files and attached again."""
+    from revlake.streaming import sinks
+
+    path = folder(s)
+    sinks.save(subs_of(s), path)
+    return sinks.load(s, path)
+
+
 @query(f"SELECT CAST(s.id AS BIGINT) AS id, s.type, s.pattern, s.once, CAST(greatest(s.last_seen_rev, r.rev) AS BIGINT) AS last_seen_rev FROM subs s LEFT JOIN (SELECT id, max(rev) AS rev FROM {RESUMED} GROUP BY id) r ON r.id = s.id WHERE NOT (s.once AND s.id IN (SELECT id FROM {DELIVERED}))")
 def subs_export(s, d):
     return watch.export(log_of(s, d), subs_of(s))
@@ -633,6 +802,32 @@ def fn_varint_len(s, d):
     return log_of(s, d).select("rev", compact.varint_length(F.col("rev") * F.col("rev")).alias("n"))
 
 
-@query()
+_TABLE = ", ".join(map(str, fn._CRC))
+
+
+@query(f", f AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS h FROM log UNION ALL SELECT key, i + 1, xor(([{_TABLE}])[(xor(h, CAST(ascii(substring(key, i + 1, 1)) AS BIGINT)) & 255) + 1]::BIGINT, h >> 8) FROM f WHERE i < length(key)) SELECT key, xor(h, 4294967295) AS h FROM f WHERE i = length(key)")
 def fn_checksum(s, d):
-    return keys_of(s, d).select("key", fn.checksum_udf("key").alias("h"))
+    return keys_of(s, d).select("key", fn.checksum_column(F.col("key")).alias("h"))
+
+
+_DIGIT = "lower(lpad(hex((x // (128 ** k)::BIGINT) % 128 + CASE WHEN k < n - 1 THEN 128 ELSE 0 END), 2, '0'))"
+
+
+@query(f"SELECT rev, string_agg({_DIGIT}, '' ORDER BY k) AS h, any_value(x) AS back FROM (SELECT rev, x, n, unnest(range(0, n)) AS k FROM (SELECT rev, rev * rev AS x, CASE WHEN rev * rev < 128 THEN 1 WHEN rev * rev < 16384 THEN 2 WHEN rev * rev < 2097152 THEN 3 WHEN rev * rev < 268435456 THEN 4 WHEN rev * rev < 34359738368 THEN 5 ELSE 6 END AS n FROM log)) GROUP BY rev")
+def fn_varint(s, d):
+    h = fn.varint_hex(F.col("rev") * F.col("rev"))
+    return log_of(s, d).select("rev", h.alias("h"), fn.unvarint_hex(h).alias("back"))
+
+
+@query("SELECT rev, lower(string_agg(lpad(hex((rev // (256 ** k)::BIGINT) % 256), 2, '0'), '' ORDER BY k)) AS h FROM (SELECT rev, unnest(range(0, 8)) AS k FROM log) GROUP BY rev")
+def fn_u64(s, d):
+    return log_of(s, d).select("rev", fn.u64_little_endian_hex(F.col("rev")).alias("h"))
+
+
+_TEXT = "CASE WHEN {0} IS NULL THEN 'c0' WHEN strlen({0}) < 32 THEN lower(hex(strlen({0}) + 160)) || lower(hex(encode({0}))) ELSE 'd9' || lower(lpad(hex(strlen({0})), 2, '0')) || lower(hex(encode({0}))) END"
+
+
+@query(f"SELECT rev, '83a36b6579' || {_TEXT.format('key')} || 'a5' || '76616c7565' || {_TEXT.format('value')} || 'a3726576' || CASE WHEN rev < 128 THEN lower(lpad(hex(rev), 2, '0')) WHEN rev < 256 THEN 'cc' || lower(lpad(hex(rev), 2, '0')) WHEN rev < 65536 THEN 'cd' || lower(lpad(hex(rev), 4, '0')) ELSE 'ce' || lower(lpad(hex(rev), 8, '0')) END AS record FROM log")
+def fn_msgpack(s, d):
+    record = fn.msgpack_map_hex(key=fn.msgpack_text_hex(F.col("key")), value=fn.msgpack_text_hex(F.col("value")), rev=fn.msgpack_long_hex(F.col("rev")))
+    return log_of(s, d).select("rev", record.alias("record"))

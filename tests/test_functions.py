@@ -13,7 +13,7 @@ def test_checksum_value():
 
 def test_native_sums(spark):
     texts = ["", "a", "click:0001", "é中😀", "x" * 300]
-    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fn.adler32(F.col("t")).alias("a"), fn.fnv1a(F.col("t")).alias("f"), fn.checksum_udf("t").alias("c")).collect()
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fn.adler32(F.col("t")).alias("a"), fn.fnv1a(F.col("t")).alias("f"), fn.checksum_column(F.col("t")).alias("c")).collect()
     for r in out:
         data, h = r.t.encode(), 2166136261
         for b in data:
