@@ -9,6 +9,7 @@ texts cannot fill a worker.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,7 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="revlake-")  # a single process, as in tests
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/revlake-{uuid.uuid4().hex}"
 
 
