@@ -9,10 +9,17 @@ the strides are walked one by one.
 
 Encoding writes a grey image (red = green = blue = sample) with subtract-green,
 a palette when there are 16 colours or fewer, length-limited prefix codes, and
-back-references for runs. ``store`` keeps any byte string: 64 samples a row, as
+back-references at any distance, for runs and for what repeats. It makes no use of the
+predictor and cross-colour transforms, the colour cache and several code groups, which
+gain nothing on samples of text; the decoder reads them. ``store`` keeps any byte string: 64 samples a row, as
 many rows as needed; beyond ``ROWS`` rows another image follows in the same value.
 
-Null or empty text is one row of zeros. Equal texts have equal stored forms.
+Media are written as Parquet and read again by a second stage, which decodes them and
+computes hashes and features from the pixels.
+
+Null or empty text is one row of zeros. Equal texts have equal stored forms, so repeated
+rows and rows without an id give what any other does. A text beyond 1 MiB is several
+images in one value. An empty table gives no rows; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -28,13 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from revlake.llm.common import batches, bounded_batches
+from revlake.llm.common import batches, bounded_batches, materialise
 
 WIDTH = 64
 #: Rows of one image: 1 MiB of samples, and the format's largest height.
 ROWS = 16_384
 #: Shortest run that is written as a back-reference.
 RUN = 12
+#: Pixels that repeat further up at least, to be written as a back-reference.
+FAR = 24
 #: Longest code word that the encoder makes (the format allows 15).
 LIMIT = 12
 
@@ -564,26 +573,70 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * extra + 2 + (v >> extra & 1), v & ((1 << extra) - 1), extra
 
 
+def _repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references (place, length, distance), in order and apart: runs of one pixel, and
+    what stands ``FAR`` pixels or more alike further up, found by sorting hashes of windows."""
+    n = len(argb)
+    out: list[tuple[int, int, int]] = []
+    if n > 2 * FAR:
+        powers, back = _powers(n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((argb.astype(np.uint64) + np.uint64(1)) * powers[:n], dtype=np.uint64)])
+        hashed = (sums[FAR:] - sums[:-FAR]) * back[: n - FAR + 1]
+        order = np.argsort(hashed, kind="stable")
+        same = np.flatnonzero(hashed[order[1:]] == hashed[order[:-1]])
+        before = np.full(n, -1, np.int64)
+        before[order[same + 1]] = order[same]
+        at = 0
+        for place in np.flatnonzero(before >= 0).tolist():
+            if place < at:
+                continue
+            source, length = int(before[place]), 0
+            while place + length < n:  # how far both go on alike
+                step = min(4096, n - place - length)
+                differ = np.flatnonzero(argb[place + length : place + length + step] != argb[source + length : source + length + step])
+                length += int(differ[0]) if len(differ) else step
+                if len(differ):
+                    break
+            if length >= FAR:
+                out.append((place, length, place - source))
+                at = place + length
+    taken = np.zeros(n, bool)
+    for place, length, _ in out:
+        taken[place : place + length] = True
+    same = np.concatenate([[False], (argb[1:] == argb[:-1])]) & ~taken
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    out += [(lo, hi - lo, 1) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()) if hi - lo >= RUN]
+    return sorted((place + at, min(4096, length - at), far) for place, length, far in out for at in range(0, length, 4096))
+
+
+_power_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64 and of its inverse, ``n`` at least."""
+    if not _power_tables or len(_power_tables[0]) < n:
+        step = 0xD6E8FEB86659FD93
+        _power_tables[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 16), base, np.uint64)]), dtype=np.uint64) for base in (step, pow(step, -1, 2**64))]
+    return _power_tables[0], _power_tables[1]
+
+
 def write_samples(w: Writer, argb: np.ndarray, runs: bool = True, main: bool = True) -> None:
-    """An entropy-coded image: literals, and runs of one pixel as back-references at distance 1."""
+    """An entropy-coded image: literals, and back-references to what stands before."""
     w.put(0, 1)
     if main:
         w.put(0, 1)
     n = len(argb)
-    same = np.concatenate([[False], argb[1:] == argb[:-1]])
-    lengths = np.zeros(n, np.int64)
-    literal = np.ones(n, bool)
-    if runs and same.any():
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if hi - lo >= RUN:
-                for at in range(lo, hi, 4096):
-                    lengths[at] = min(4096, hi - at)
-                literal[lo:hi] = False
+    lengths, literal = np.zeros(n, np.int64), np.ones(n, bool)
+    found = _repeats(argb) if runs else []
+    for place, length, _ in found:
+        lengths[place] = length
+        literal[place : place + length] = False
     kept = np.flatnonzero(literal | (lengths > 0))
     green = (argb >> 8 & 255).astype(np.int64)[kept]
     back = np.flatnonzero(lengths[kept])
-    extras = [prefix_of(int(v)) for v in lengths[kept][back]]
+    extras = [prefix_of(length) for _, length, _ in found]
+    # Distance 1 is the second of the near places; others are told plainly, above these.
+    ways = [prefix_of(2 if far == 1 else far + 120) for _, _, far in found]
     green[back] = [256 + s for s, _, _ in extras]
     isliteral = lengths[kept] == 0
     gcode, glen = write_code(w, code_lengths(np.bincount(green, minlength=280)))
@@ -600,12 +653,19 @@ def write_samples(w: Writer, argb: np.ndarray, runs: bool = True, main: bool = T
         v, s = np.where(isliteral, code[p], 0).astype(np.uint64), np.where(isliteral, length[p], 0)
         values |= v << sizes.astype(np.uint64)
         sizes = sizes + s
-    # Distance 1 is the second of the near places, value 2: symbol 1 alone, so no bits.
-    write_code(w, np.bincount([1], minlength=40))
-    for k, (_, extra, size) in zip(back.tolist(), extras):
+    dcode, dlen = write_code(w, code_lengths(np.bincount([s for s, _, _ in ways] or [1], minlength=40)))
+    if not found:
+        w.extend(values, sizes)
+        return
+    # A back-reference is two fields: length with its extra bits, distance with its own.
+    second, second_bits = np.zeros(len(values), np.uint64), np.zeros(len(values), np.int64)
+    for k, (_, extra, size), (symbol, more, wide) in zip(back.tolist(), extras, ways):
         values[k] |= np.uint64(extra) << np.uint64(sizes[k])
         sizes[k] += size
-    w.extend(values, sizes)
+        second[k] = int(dcode[symbol]) | more << int(dlen[symbol])
+        second_bits[k] = int(dlen[symbol]) + wide
+    fields, bits = np.stack([values, second], axis=1).reshape(-1), np.stack([sizes, second_bits], axis=1).reshape(-1)
+    w.extend(fields, bits)
 
 
 def encode_samples(samples: np.ndarray) -> bytes:
@@ -661,27 +721,33 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % 64 or (0 if text else 64))
 
 
-def _store_stage(with_media: bool):
+def _store_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in batches(it):
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(map(len, texts), pa.int64()), "media": pa.array([store(payload_of(t)) for t in texts], pa.binary())})
+
+
+def _load_stage(with_media: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches(it):
-            rows = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")}
-            for text in texts:
-                media = store(payload_of(text))
+        for batch in it:
+            rows = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            for value in batch.column("media"):
+                media = value.as_py()
                 back = load(media)
-                if with_media:
-                    rows["media"].append(media)
-                for k, v in (("n_bytes", len(text)), ("payload_bytes", len(back)), ("payload_sha256", hashlib.sha256(back).hexdigest()), ("tail_crc32", zlib.crc32(back[-64:])), ("media_bytes", len(media)), ("media_sha256", hashlib.sha256(media).hexdigest()), ("feature", features(back))):
+                for k, v in (("payload_bytes", len(back)), ("payload_sha256", hashlib.sha256(back).hexdigest()), ("tail_crc32", zlib.crc32(back[-64:])), ("media_bytes", len(media)), ("media_sha256", hashlib.sha256(media).hexdigest()), ("feature", features(back))):
                     rows[k].append(v)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{k: pa.array(v, pa.int64() if v and isinstance(v[0], int) else None) for k, v in rows.items() if v}})
+            kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string()}
+            columns = {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), **{k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()}}
+            yield pa.RecordBatch.from_pydict(columns | ({"media": batch.column("media")} if with_media else {}))
 
     return run
 
 
 def store_texts(docs: DataFrame, with_media: bool = True) -> DataFrame:
-    """doc_id, sizes, hashes and features read back from the stored form, and the form itself."""
+    """doc_id, sizes, hashes and features of every text's stored form, as read back from where it was written, and the form itself."""
     bounded_batches(docs.sparkSession)
+    written = materialise(docs.select("doc_id", "text").mapInArrow(_store_stage, f"doc_id {docs.select('doc_id').dtypes[0][1]}, n_bytes long, media binary"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
-    return docs.select("doc_id", "text").mapInArrow(_store_stage(with_media), schema)
+    return written.mapInArrow(_load_stage(with_media), schema)
 
 
 def _pixel_stage(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
