@@ -35,6 +35,30 @@ def test_webp_round_trip_of_texts(docs, clashing, none):
     assert (pixels.width, len(pixels.argb)) == (64, 4 * 64 * pixels.height)
 
 
+#: Two published lossless files of one pixel, by which programs test for the format.
+PUBLISHED = ("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==", "UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=")
+
+
+@pytest.mark.parametrize("text", PUBLISHED)
+def test_files_of_another_writer(text):
+    import base64
+
+    (image,) = webp.decode(base64.b64decode(text))
+    assert image.shape == (1, 1)
+
+
+def test_what_repeats_becomes_back_references():
+    rng = np.random.default_rng(1)
+    once = rng.integers(0, 256, 3000, dtype=np.uint8).tobytes()
+    payload = webp.payload_of(once + b"between" + once[100:2900] + b"z" * 9000 + once)
+    stored = webp.store(payload)
+    assert webp.load(stored) == payload and len(stored) < 4500
+    argb = np.frombuffer(payload, np.uint8).astype(np.uint32) << 8
+    found = webp._repeats(argb)
+    assert {far for _, _, far in found} >= {1, 2907} and all((argb[p : p + n] == argb[p - far : p - far + n]).all() if far >= n else True for p, n, far in found)
+    assert all(a[0] + a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=5000), st.integers(1, 3))
 def test_webp_any_bytes(data, times):
@@ -445,6 +469,10 @@ def test_every_license_rule_fires_on_its_own_text(spark):
         for full in (False, True):
             for x in samples(re._parser.parse(e), full):
                 assert re.search(e, f" {x.strip()} ") and any(k in f" {x.strip()} " for k in keys), (label, x)
+    for _, label, keys, e, _, also in licenses.ranked_rules():
+        assert all(any(a in k for a in licenses.anchors()) for k in keys)
+        for full in (False, True):
+            assert not also or all(any(k in x for k in also) for x in samples(re._parser.parse(e), full)), (label, e, also)
     own = alone()
     out = by_id(licenses.scan_licenses(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(own)], "doc_id long, text string")))
     # The name of mpl-2.0 may lack its number, and its rules come before those of mpl-1.1.
@@ -452,6 +480,33 @@ def test_every_license_rule_fires_on_its_own_text(spark):
     assert not missed, (len(missed), len(own), missed[:20])
 
 
+def brute_detections(text):
+    """All matches of all rules, then pairwise: an interval within one of higher priority, or within a longer or earlier one of the same, goes."""
+    line = " " + " ".join(words(text)) + " "
+    found = []
+    for k, (p, label, _, e, _, _) in enumerate(licenses.ranked_rules()):
+        for m in re.finditer(e, line):
+            found.append((line[: m.start()].count(" ") - 1, line[: m.end()].count(" "), p, k, label))
+    within = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (y[2] > x[2] or (y[2] == x[2] and (x[:2] != y[:2] or y[3] < x[3])))
+    return sorted((x[4], x[0], x[1]) for x in found if not any(within(x, y) for y in found))
+
+
+def test_license_intervals_equal_brute_force(spark):
+    texts = [
+        "released under the apache license 2.0 or the GPL 3.0 license", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "GNU Lesser General Public License v2.1, see the GNU General Public License, version 3 of the License", "cc by nc sa 4.0 cc by " * 30, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "MIT License. Copyright (c) 2020 X. All rights reserved. SPDX-License-Identifier: MIT. Available under the MIT license or the BSD 3 clause license.", "word " * 50, "",
+        "license mit license mit license", "all rights reserved " * 700 + "public domain",
+    ]
+    rng = np.random.default_rng(6)
+    bits = ["the gnu", "general public license", "lesser general public license", "version 3", "2 0", "apache", "license", "under the terms of the", "released", "licensed", "mit", "cc by", "nc", "all rights reserved", "is", "under the", "or", "creative commons attribution"]
+    texts += [" ".join(rng.choice(bits, 14)) for _ in range(60)]
+    out = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for k, t in enumerate(texts):
+        assert sorted((x.label, x.start, x.end) for x in out[k].detections) == brute_detections(t), t
+    assert {"apache-2.0", "gpl-3.0"} <= set(out[0].labels.split(","))
+
+
 def test_licenses_need_no_other_word(spark):
     texts = ["Released under the MIT.", "Distributed under the 3-clause BSD", "available under Apache 2.0", "governed by the ISC"]
     out = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
