@@ -582,10 +582,15 @@ def _repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
         powers, back = _powers(n)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((argb.astype(np.uint64) + np.uint64(1)) * powers[:n], dtype=np.uint64)])
         hashed = (sums[FAR:] - sums[:-FAR]) * back[: n - FAR + 1]
-        order = np.argsort(hashed, kind="stable")
-        same = np.flatnonzero(hashed[order[1:]] == hashed[order[:-1]])
+        ordered = np.sort(hashed)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
         before = np.full(n, -1, np.int64)
-        before[order[same + 1]] = order[same]
+        if len(twice):  # only windows that occur again are put in order
+            near = np.searchsorted(twice, hashed)
+            some = np.flatnonzero(twice[np.minimum(near, len(twice) - 1)] == hashed)
+            order = some[np.argsort(hashed[some], kind="stable")]
+            same = np.flatnonzero(hashed[order[1:]] == hashed[order[:-1]])
+            before[order[same + 1]] = order[same]
         at = 0
         for place in np.flatnonzero(before >= 0).tolist():
             if place < at:
