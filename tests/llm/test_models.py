@@ -207,3 +207,64 @@ def test_probabilities_add_up():
     weights = np.random.default_rng(1).normal(size=(maxent.HASHED, maxent.CLASSES))
     logp = maxent.log_softmax(weights, np.arange(0, maxent.CONTEXTS, 997))
     assert np.allclose(np.exp(logp).sum(axis=1), 1)
+
+
+def test_word_features_equal_brute_force(spark, corpus, monkeypatch):
+    """What word features add to each score, from pairs of words counted plainly; rare words included."""
+    docs, _, _ = corpus
+    again = docs.filter("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 2000)  # pairs seen twice
+    everything = docs.union(again).union(spark.createDataFrame([(3000, None), (3001, ""), (None, "the the ing tion")], DOC))
+    monkeypatch.setattr(maxent, "FREQUENT", 60)
+    kept, build = [], maxent.build_vocabulary
+    monkeypatch.setattr(maxent, "build_vocabulary", lambda counts: kept.append(build(counts)) or kept[-1])
+    full = {r.doc_id: r.score for r in maxent.score_documents(everything).collect()}
+    monkeypatch.setattr(maxent, "LEAST_PAIR", 10**9)
+    plain = {r.doc_id: r.score for r in maxent.score_documents(everything).collect()}
+
+    v = kept[0]
+    rows = {r.doc_id: maxent.tokens((r.text or "").encode()) for r in everything.collect()}
+    counts = Counter(w for i, ws in rows.items() if not held(i, 5, 1) for w in ws)
+    cls = {w: v.class_of(maxent.word_hash(w), maxent.ending(w)) for ws in rows.values() for w in ws}
+    frequent = {w for w in cls if v.count(maxent.word_hash(w)) >= 0}
+    assert 0 < len(frequent) < len(cls)
+
+    def share(w):
+        return (counts[w] + 0.5) / (v.class_total[cls[w]] + 0.5 * (v.class_distinct[cls[w]] + 1))
+
+    def pairs(ws):
+        for j, w in enumerate(ws):
+            near = [k for k in (1, 2) if j >= k and cls[ws[j - k]] >= maxent.FIRST]
+            if near and cls[w] >= maxent.FIRST and ws[j - 1] != w:
+                yield (near[0], ws[j - near[0]]), w
+
+    seen = Counter(x for i, ws in rows.items() if not held(i, 5, 1) for x in pairs(ws))
+    twice, thrice = (sum(n == k for n in seen.values()) for k in (2, 3))
+    discount = min(1.9, max(0.5, 2 - 3 * thrice / twice))
+    every, known = Counter(), {}
+    for (u, w), n in seen.items():
+        every[u, cls[w]] += n
+        if n >= 2:
+            known.setdefault((u, cls[w]), {})[w] = n
+    other = {}
+    for q, ws in known.items():
+        p = sum((n - discount) / every[q] for n in ws.values())
+        other[q] = (1 - p) / (1 - sum(share(w) for w in ws if w in frequent))
+        assert p + other[q] * (1 - sum(map(share, ws))) < 1 + 1e-9
+    assert known and set(full) == set(rows)
+    for i, ws in rows.items():
+        gain = 0.0
+        for u, w in pairs(ws):
+            q = (u, cls[w])
+            if w in known.get(q, {}):
+                gain += math.log10((known[q][w] - discount) / every[q] / share(w))
+            elif q in known:
+                gain += math.log10(other[q])
+        assert abs(full[i] - plain[i] - gain) < 1e-6 * max(1, abs(full[i]))
+
+
+def test_language_model_without_training_rows(spark, odd):
+    out = maxent.score_documents(odd).collect()
+    assert len(out) == odd.count() and all(r.score < 0 for r in out)
+    ids = [i for i in range(400) if held(i, 5, 1)][:5]
+    out = maxent.score_documents(spark.createDataFrame([(i, "one two three four") for i in ids], DOC)).collect()
+    assert len(out) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and np.isfinite(r.score) for r in out)
