@@ -145,6 +145,18 @@ class Vocabulary:
         i = int(np.searchsorted(self.hashes, h))
         return int(self.counts[i]) if i < len(self.hashes) and self.hashes[i] == h else -1
 
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Hash, class and count of words, as columns."""
+        h = np.array([word_hash(w) for w in words], np.int64)
+        classes = self.class_of_ending[np.array([ending(w) for w in words], np.int64)]
+        for own, k in self.class_of_word.items():
+            classes[h == own] = k
+        counts = np.full(len(h), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            counts = np.where(self.hashes[at] == h, self.counts[at], -1)
+        return np.stack([h, classes, counts])
+
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
     """Classes from ``counts`` (h, e, c): one row for each distinct training word."""
@@ -219,12 +231,12 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.rows: list[tuple[int, int, int]] = [(END_HASH, END, self.vocabulary.count(END_HASH))]
+        self.new: list[bytes] = []
+        self.rows = np.array([[END_HASH], [END], [self.vocabulary.count(END_HASH)]], np.int64)
 
     def __missing__(self, w: bytes) -> int:
-        h, v = word_hash(w), self.vocabulary
-        self[w] = n = len(self.rows)
-        self.rows.append((h, v.class_of(h, ending(w)), v.count(h)))
+        self.new.append(w)
+        self[w] = n = len(self) + 1  # 0 is the end token
         return n
 
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,8 +250,10 @@ class Words(dict):
             numbers.append(0)
             sizes.append(len(ws) + 1)
         at = np.array(numbers, np.int64)
-        table = np.array(self.rows, np.int64)
-        h, classes, counts = (table[:, k][at] for k in range(3))
+        if self.new:
+            self.rows = np.concatenate([self.rows, self.vocabulary.rows(self.new)], axis=1)
+            self.new = []
+        h, classes, counts = (column[at] for column in self.rows)
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         place = np.arange(len(at)) - np.repeat(begins, sizes)
         repeat = np.zeros(len(at), bool)
@@ -442,7 +456,7 @@ def train(cells: DataFrame, parts: int = 6) -> np.ndarray:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
         sums = cells.mapInArrow(_gradient_stage(shared), kind).repartition(parts, "row").mapInArrow(_sum_stage, kind)
         gradient, likelihood = np.zeros((HASHED, CLASSES)), 0.0
-        for r in sums.toLocalIterator():
+        for r in sums.collect():  # at most HASHED + 1 rows
             if r["row"] < 0:
                 likelihood = r["v"][0]
             else:
