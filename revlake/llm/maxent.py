@@ -461,6 +461,7 @@ def train(cells: DataFrame, parts: int = 6) -> np.ndarray:
                 likelihood = r["v"][0]
             else:
                 gradient[r["row"]] = r["v"]
+        shared.destroy(blocking=True)  # else every round leaves a copy on the disk of each executor
         if likelihood > best[0]:
             best = (likelihood, weights)
         if step > ROUNDS:
