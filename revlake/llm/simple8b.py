@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlake.llm.bpe import default_vocabulary, encoder
+from revlake.llm.bpe import default_vocabulary
+from revlake.llm.bpe_arrays import array_encoder
 from revlake.llm.common import batches, bounded_batches
 
 #: Fixed values: (values in a word, bits of each) by selector; 15 is the escape.
@@ -33,7 +34,7 @@ ESCAPE = 15
 BLOCK = 1 << 16
 #: Bytes of text whose tokens make one segment, if more than one document.
 SEGMENT_BYTES = 2 << 20
-#: Pieces and words that the encoder remembers (see there): more, as writing needs the time.
+#: Pieces that the encoder remembers.
 REMEMBERED = 450_000
 
 
@@ -132,12 +133,9 @@ def _segments(vocabulary: str | None, end_id: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, seq, before = encoder(vocabulary or default_vocabulary(), REMEMBERED), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        enc, part, seq, before = array_encoder(vocabulary or default_vocabulary(), REMEMBERED), TaskContext.get().partitionId(), 0, 0
         for batch, texts in batches(it, SEGMENT_BYTES):
-            coded = [enc.encode(t) + end for t in texts]
-            counts = np.array([len(c) // 4 for c in coded], np.uint64)
-            ids = np.frombuffer(b"".join(coded), "<u4")
+            ids, counts = enc.encode(texts, end_id)
             doc_ids = batch.column("doc_id")
             (words, table), (packed, count_table) = pack(ids), pack(counts)
             row = [part, seq, before, len(counts), len(ids), doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), doc_ids.null_count, packed, count_table, words, table]

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tests_llm_rows import BENCH, OTHER, texts
 
-from revlake.llm import bpe, decontaminate, licenses, neardup, queries, secrets, simple8b, webp
+from revlake.llm import bpe, bpe_arrays, decontaminate, licenses, neardup, queries, secrets, simple8b, webp
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -225,6 +226,49 @@ def test_token_files(spark, clashing, none, library, tmp_path):
     assert simple8b.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
 
+ANY_TEXT = st.text(alphabet=st.one_of(st.sampled_from(list("theingandorİßÉ²½ªǄȺɏ's !.#é<|>123\x85\xa0\x1c\t")), st.characters(codec="utf-8")), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ANY_TEXT, max_size=8), st.integers(1, 12))
+def test_texts_at_once_equal_library(library, some, remembered):
+    enc = bpe_arrays.array_encoder(bpe.default_vocabulary(), 450_000)
+    enc.remembered = remembered  # so the table turns over all the time
+    ids, counts = enc.encode([t.encode() for t in some], 2)
+    whole = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+    assert ids.tolist() == [i for w in whole for i in w]
+    assert counts.tolist() == [len(w) for w in whole]
+
+
+def test_texts_at_once_special_and_long(library):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeéßñ"), rng.integers(1, 100))) for _ in range(3000)]
+    some = ["<|endoftext|> a<|startoftext|>b <|end", "", " \n ", "I'm they'll 'tis O'REILLY'S", "x" * 5000, " ".join(words), "ΑΣ привет 漢字 e\u0301", "aaaa " * 50]
+    enc = bpe_arrays.ArrayEncoder(bpe.encoder(bpe.default_vocabulary()), 100)
+    for _ in range(2):  # the second time partly from the table
+        ids, counts = enc.encode([t.encode() for t in some], 2)
+        whole = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+        assert ids.tolist() == [i for w in whole for i in w]
+        assert counts.tolist() == [len(w) for w in whole]
+
+
+def test_token_files_do_not_merge_word_by_word(library, monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    calls, word = [], bpe.Encoder.word
+    monkeypatch.setattr(bpe.Encoder, "word", lambda self, text: (calls.append(text), word(self, text))[1])
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(11)
+    some = [" ".join("".join(rng.choice(list("etaoinshrdluéü"), 12)) for _ in range(200)) for _ in range(10)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(10), pa.int64()), "text": pa.array(some)})
+    (segment,) = simple8b._segments(None, 2)(iter([batch]))
+    r = segment.to_pylist()[0]
+    ids = [i for t in some for i in [*library.encode(t, add_special_tokens=False).ids, 2]]
+    assert simple8b.unpack(r["words"], r["table"], r["tokens"]).tolist() == ids
+    assert len(calls) < 20, "words that no table holds were encoded one by one"
+
+
 # op6
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
