@@ -24,6 +24,8 @@ def matches() -> Column:
 
 #: Parts that subscriptions to everything are dealt to, and characters of a gram.
 SALTS, GRAM = 16, 3
+#: Bytes of tokens that may be broadcast; more are shuffled. Events, many tokens each, never are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def _tokens(subs: DataFrame) -> DataFrame:
@@ -41,7 +43,9 @@ def matched(log: DataFrame, subs: DataFrame) -> DataFrame:
     """id, once, last_seen_rev, key, rev, value of every event and subscription that match."""
     tokens = _tokens(subs.select("id", "type", "pattern", "once", "last_seen_rev"))
     # At most a row for each kind and length of a pattern.
-    shapes = sorted((r["kind"], r["size"]) for r in tokens.select("kind", "size").distinct().collect())
+    held = F.lit(64) + F.octet_length("token") + F.coalesce(F.octet_length("pattern"), F.lit(0))
+    counts = tokens.groupBy("kind", "size").agg(F.sum(held).alias("bytes")).collect()
+    shapes = sorted((r["kind"], r["size"]) for r in counts)
     key, found = F.col("key"), []
     for kind, size in shapes:
         if kind == "contains":
@@ -53,7 +57,8 @@ def matched(log: DataFrame, subs: DataFrame) -> DataFrame:
     if not found:
         return log.limit(0).join(subs.limit(0).select("id", "once", "last_seen_rev").withColumn("key", F.lit(None).cast("string")), "key").select("id", "once", "last_seen_rev", "key", "rev", "value")
     events = log.select("key", "rev", "value", F.explode(F.array_distinct(F.concat(*found))).alias("t")).select("key", "rev", "value", "t.*")
-    both = events.join(tokens, ["kind", "token"])
+    # By its size before the explode Spark takes a small log for the side to broadcast, so the sides are named here.
+    both = events.join(F.broadcast(tokens) if sum(r["bytes"] for r in counts) <= BROADCAST_BYTES else tokens.hint("merge"), ["kind", "token"])
     sure = (F.col("kind") != "contains") | F.contains("key", "pattern")
     return both.filter(sure & ((F.col("kind") == "all") | matches())).select("id", "once", "last_seen_rev", "key", "rev", "value")
 

@@ -175,6 +175,19 @@ def test_matching_equals_brute_force_without_nested_loops(spark):
     assert watch.deliveries(log, table.limit(0)).count() == 0
 
 
+def test_matching_never_broadcasts_events(spark, tmp_path, monkeypatch):
+    rows(spark, 400).write.parquet(f"file://{tmp_path}/events")
+    log = spark.read.parquet(f"file://{tmp_path}/events")
+    subs = spark.createDataFrame([(1, "all", None, False, None), (2, "prefix", "k00", False, 7), (3, "contains", "01", True, None)], SUBS)
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    few = watch.deliveries(log, subs)
+    want = sorted(tuple(r) for r in few.collect())
+    assert len(want) == 801 and "BuildRight" in plan(few) and "BuildLeft" not in plan(few)
+    monkeypatch.setattr(watch, "BROADCAST_BYTES", 0)
+    many = watch.deliveries(log, subs)
+    assert "SortMergeJoin" in plan(many) and "BroadcastHashJoin" not in plan(many) and sorted(tuple(r) for r in many.collect()) == want
+
+
 def test_sinks_and_registry(spark, tmp_path):
     found = spark.createDataFrame([(1, 10, "a", "x"), (2, 11, "b", None), (1, 10, "a", "x")], "id long, rev long, key string, value string")
     memory, files = sinks.sink("memory"), sinks.sink("file", path=f"file://{tmp_path}/out")
