@@ -123,6 +123,24 @@ def test_segments_round_trip_and_torn_tail(spark, tmp_path):
     assert wal.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_many_segments_are_mended_in_a_few_jobs(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    log = rows(spark, 400).select("key", "rev", "value", *[F.lit(None).cast("bigint").alias(c) for c in ("created_at_ms", "lease_id", "lease_expires_at_ms")])
+    wal.append(log, path, 10)
+    for first, keep in ((11, 0), (201, 4)):
+        part = next(p for p in (tmp_path / f"log/segment-{first:020d}").rglob("part-*"))
+        lines = part.read_text().splitlines()
+        part.write_text("\n".join(lines[:keep] + [x[:-3] for x in lines[keep:]]) + "\n")
+        (part.parent / f".{part.name}.crc").unlink()
+    spark.sparkContext.setJobGroup("mending", "")
+    assert wal.repair(spark, path) == 2 and wal.repair(spark, path) == 0
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mending"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 30
+    assert sorted(r.rev for r in wal.read(spark, path).collect()) == [*range(1, 11), *range(21, 205), *range(211, 401)]
+    assert wal.inspect(spark, path).count() == 39
+
+
 def LOG_FIELDS(frame):
     return frame.columns
 
