@@ -115,10 +115,20 @@ def msgpack_map_hex(**fields: Column) -> Column:
     return F.concat(F.lit(f"8{len(fields):x}"), *[x for name, c in fields.items() for x in (msgpack_text_hex(F.lit(name)), c)])
 
 
+#: Bytes of a value that are tried.
+TRIED = 1024
+
+
 @F.pandas_udf(T.BooleanType())
-def worth_compressing(s: pd.Series) -> pd.Series:
-    """Values above 128 bytes whose first KiB deflates to 0.9 or less."""
-    return s.map(lambda x: x is not None and len(x.encode()) > 128 and len(zlib.compress(x.encode()[:1024])) <= 0.9 * len(x.encode()[:1024]))
+def _deflates(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x is not None and len(zlib.compress(x)) <= 0.9 * len(x))
+
+
+def worth_compressing(c: Column | str) -> Column:
+    """Values above 128 bytes whose first KiB deflates to 0.9 or less. Only these bytes go to Python,
+    so a worker's memory does not depend on the values' length."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.octet_length(c) > 128, F.lit(False)) & _deflates(F.substring(c.cast("binary"), 1, TRIED))
 
 
 def upper_bound(keys: Column, key: Column) -> Column:

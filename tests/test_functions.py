@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 
 from hypothesis import given, settings
@@ -31,3 +33,14 @@ def test_varint_length(spark):
     ns = [0, 1, 127, 128, 16383, 16384, 2**35 - 1, 2**35, 2**53]
     out = spark.createDataFrame([(n,) for n in ns], "n long").select("n", fn.varint_length(F.col("n")).alias("l")).collect()
     assert all(r.l == len(fn.varint(r.n)) for r in out)
+
+
+def test_only_the_tried_bytes_are_sent_to_python(spark):
+    """The rest of a value would fill a worker's batches with texts."""
+    noise = random.Random(1).randbytes(3000).hex()
+    texts = [None, "", "a" * 128, "a" * 129, "é" * 64, "é" * 65, noise[:127], "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "ab" * 900_000, "中" * 341 + noise]
+    found = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", "t", fn.worth_compressing("t").alias("c"))
+    head = lambda x: x.encode()[:1024]
+    want = [x is not None and len(x.encode()) > 128 and len(zlib.compress(head(x))) <= 0.9 * len(head(x)) for x in texts]
+    assert [r.c for r in found.orderBy("i").collect()] == want and True in want and False in want
+    assert re.search(r"_deflates\(substring\(cast\(t#\d+ as binary\), 1, 1024\)\)", found._jdf.queryExecution().analyzed().toString())
