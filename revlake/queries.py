@@ -448,7 +448,7 @@ def store_contains(s, d):
 def store_compacted(s, d):
     """Levels compacted until each is within its target: no version of a key is lost or kept twice."""
     store = store_of(s, d, level_base=1024)
-    store.compact_levels(limit=4096, rounds=12)
+    store.compact_levels(limit=4096)
     return key_rev_value(views.latest(store.read(), True))
 
 

@@ -49,11 +49,13 @@ class Store:
         """The newest whole manifest and its version; one that is still being written is passed over."""
         versions = sorted((int(s.getPath().getName()[:-5]) for s in self._list("manifest") if s.getPath().getName().endswith(".json")), reverse=True)
         for v in versions:
-            text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest/{v:012d}.json", wholetext=True).collect())
+            file = self._fs.open(self._path(f"manifest/{v:012d}.json"))
             try:
-                return v, json.loads(text)
+                return v, json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
             except ValueError:
                 continue
+            finally:
+                file.close()
         return 0, []
 
     def _publish(self, change: Callable[[list[dict]], list[dict]], attempts: int = 50) -> None:
@@ -83,14 +85,20 @@ class Store:
 
     def manifest(self) -> DataFrame:
         """A row for each run."""
-        return self.spark.createDataFrame([tuple(r[c] for c in _FIELDS) for r in self.runs()], RUN)
+        return self._frame(self.runs())
+
+    def _frame(self, runs: list[dict]) -> DataFrame:
+        return self.spark.createDataFrame([tuple(r[c] for c in _FIELDS) for r in runs], RUN)
 
     # Runs -------------------------------------------------------------------------
 
     def _write(self, rows: DataFrame, level: int, outputs: int | None = None) -> list[dict]:
         name = f"batch-{uuid.uuid4().hex}"
         ordered = (rows.repartitionByRange(outputs, "key") if outputs else rows.repartitionByRange("key")).sortWithinPartitions("key", "rev")
-        writer = ordered.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.block.size", self.row_group).option("compression", self.codec)
+        writer = ordered.write.option("parquet.block.size", self.row_group).option("compression", self.codec)
+        # Of filters from 1 MiB down to 32 bytes the smallest that suffices is kept: a run of a few keys is not 1 MiB.
+        for option, value in (("enabled#key", "true"), ("adaptive.enabled", "true"), ("candidates.number#key", "16")):
+            writer = writer.option(f"parquet.bloom.filter.{option}", value)
         writer.parquet(f"{self.path}/{name}")
         now = int(time.time() * 1000)
         stats = self._stats(self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}"))
@@ -143,7 +151,9 @@ class Store:
         size = sum(r["size"] or 0 for r in chosen)
         rows = self._read([r["file"] for r in chosen])
         kept = newest(rows) if active_rev is None else merge_history(rows, active_rev)
-        new = self._write(kept, level, -(-size // limit) if limit else None) if chosen else []
+        # What is kept is cut, often a small part of what is read.
+        left = (kept.agg(F.sum(pick.entry_bytes())).head()[0] or 0) if limit and chosen else 0
+        new = self._write(kept, level, max(1, -(-left // limit)) if limit else None) if chosen else []
         gone = {r["file"] for r in chosen}
 
         def replace(runs: list[dict]) -> list[dict]:
@@ -158,27 +168,30 @@ class Store:
         """One step for a level above its target: runs that meet none of the next level move
         down as they are; others are merged with those they meet, and the result is cut at
         ``limit`` bytes. None where the level is within its target."""
-        target = self.level_base * pick.LEVEL_FACTOR**level
-        files = self.manifest()
-        if sum(r["size"] or 0 for r in self.runs() if r["level"] == level) <= target:
+        target, runs = self.level_base * pick.LEVEL_FACTOR**level, self.runs()
+        if sum(r["size"] or 0 for r in runs if r["level"] == level) <= target:
             return None
+        files = self._frame(runs)
         if level == 0:
             chosen = [r["file"] for r in pick.pick_level0(files).collect()]
         else:
-            mine = [r["file"] for r in pick.pick_by_overlap(files, level, target).collect()]
-            free = {r["file"] for r in pick.promotable(files, level).collect()} & set(mine)
-            if free:
+            ranked = pick.pick_by_overlap(files, level, target, len(runs)).collect()
+            mine = [r["file"] for r in ranked if r["place"] <= pick.MAX_FILES]
+            free = {r["file"] for r in pick.promotable(files, level).collect()}
+            if free & set(mine):  # moving costs nothing, so all that have to go do
+                free &= {r["file"] for r in ranked}
                 self._publish(lambda runs: [r | {"level": level + 1} if r["file"] in free else r for r in runs])
                 return {"bytes_read": 0, "bytes_written": 0, "files_created": 0, "files_removed": 0, "moved": len(free)}
             below = pick.overlap_pairs(files).filter((F.col("level") == level) & F.col("file").isin(mine)).select("next_file").distinct()
             chosen = mine + [r["next_file"] for r in below.collect()]
         return self._merge(chosen, level + 1, active_rev, limit)
 
-    def compact_levels(self, levels: int = 6, active_rev: int | None = None, limit: int = 64 << 20, bytes_per_second: float | None = None, rounds: int = 1000) -> dict:
-        """Steps, upper levels first, until every level is within its target. ``bytes_per_second``
-        spaces them out; the figures of all steps are added up."""
+    def compact_levels(self, levels: int = 6, active_rev: int | None = None, limit: int = 64 << 20, bytes_per_second: float | None = None) -> dict:
+        """Steps, upper levels first, until every level is within its target: every step takes
+        bytes a level down, so they come to an end. ``bytes_per_second`` spaces them out; the
+        figures of all steps are added up."""
         total = {"steps": 0, "bytes_read": 0, "bytes_written": 0, "files_created": 0, "files_removed": 0, "moved": 0}
-        for _ in range(rounds):
+        while True:
             began = time.monotonic()
             step = next((s for s in (self.compact_level(k, active_rev, limit) for k in range(levels)) if s is not None), None)
             if step is None:

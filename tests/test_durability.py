@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from revlake import __main__ as shell
+from revlake import queries
 from revlake.operators import bloom, compact, mutate, views, watch
 from revlake.sources import wal
 from revlake.sources.store import Store
@@ -62,6 +63,27 @@ def test_levels_are_compacted_to_their_targets(spark, store):
     assert store.compact_levels()["steps"] == 0
 
 
+def test_small_runs_are_small_files_cut_by_what_is_kept(spark, store, tmp_path):
+    for k in range(2):
+        store.flush(rows(spark, 300, 300 * k))
+    before = state(store)
+    figures = store.compact_levels(limit=600)
+    assert state(store) == before and figures["files_created"] <= 2 * (sum(r["size"] for r in store.runs()) // 600 + 1)
+    assert max((tmp_path / "db" / r["file"]).stat().st_size for r in store.runs()) < 20_000
+
+
+def test_compaction_goes_on_until_every_level_is_within_its_target(spark, tmp_path, monkeypatch):
+    n, made, store_of = 30_000, [], queries.store_of
+    events = spark.range(n).select(F.col("id").alias("event_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), (F.col("id") % 6000).alias("user_id"), F.concat(F.lit("t"), F.expr("id div 6000")).alias("event_type"), F.lit("{}").alias("props"))
+    events.write.parquet(f"file://{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "store_of", lambda *a, **k: made.append(store_of(*a, **k)) or made[0])
+    assert queries.store_compacted(spark, f"file://{tmp_path}").count() == n
+    sizes = {}
+    for r in made[0].runs():
+        sizes[r["level"]] = sizes.get(r["level"], 0) + r["size"]
+    assert all(size <= 1024 * compact.LEVEL_FACTOR**level for level, size in sizes.items()) and made[0].read().count() == n
+
+
 def test_history_for_snapshots_survives_compaction(spark, store):
     for k in range(3):
         store.flush(rows(spark, 100, 100 * k))
