@@ -79,14 +79,14 @@ def unvarint(data: bytes) -> int:
 def varint_hex(x: Column) -> Column:
     """An unsigned varint as hex digits: seven bits a byte, lowest first, the top bit while more follow."""
     n = varint_length(x).cast("int")
-    digits = F.transform(F.sequence(F.lit(1), n), lambda i: F.lpad(F.hex(F.pmod(F.floor(x / F.pow(F.lit(128.0), i - 1)).cast("long"), F.lit(128)) + F.when(i < n, 128).otherwise(0)), 2, "0"))
+    digits = F.transform(F.sequence(F.lit(1), n), lambda i: F.lpad(F.hex(F.call_function("shiftright", x.cast("long"), (i - 1) * 7).bitwiseAND(F.lit(127).cast("long")) + F.when(i < n, 128).otherwise(0)), 2, "0"))
     return F.lower(F.array_join(digits, ""))
 
 
 def unvarint_hex(h: Column) -> Column:
     """The number of an unsigned varint in hex digits."""
     digits = F.transform(F.sequence(F.lit(0), (F.length(h) / 2 - 1).cast("int")), lambda i: F.struct(i.alias("i"), F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long").alias("b")))
-    return F.aggregate(digits, F.lit(0).cast("long"), lambda s, d: s + d["b"].bitwiseAND(F.lit(127).cast("long")) * F.pow(F.lit(128.0), d["i"]).cast("long"))
+    return F.aggregate(digits, F.lit(0).cast("long"), lambda s, d: s + F.call_function("shiftleft", d["b"].bitwiseAND(F.lit(127).cast("long")), d["i"] * 7))
 
 
 def u64_little_endian_hex(x: Column) -> Column:

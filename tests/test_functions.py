@@ -44,3 +44,11 @@ def test_only_the_tried_bytes_are_sent_to_python(spark):
     want = [x is not None and len(x.encode()) > 128 and len(zlib.compress(head(x))) <= 0.9 * len(head(x)) for x in texts]
     assert [r.c for r in found.orderBy("i").collect()] == want and True in want and False in want
     assert re.search(r"_deflates\(substring\(cast\(t#\d+ as binary\), 1, 1024\)\)", found._jdf.queryExecution().analyzed().toString())
+
+
+def test_varint_columns_are_exact_at_any_size(spark):
+    ns = [0, 127, 128, 2**42 - 1, 2**42, 2**53 + 1, 2**56 - 1, 2**56, 2**62 + 12345, 2**63 - 1]
+    h = fn.varint_hex(F.col("n"))
+    out = spark.createDataFrame([(n,) for n in ns], "n long").select("n", h.alias("h"), fn.unvarint_hex(h).alias("back"), fn.varint_length(F.col("n")).alias("l")).collect()
+    for r in out:
+        assert bytes.fromhex(r.h) == fn.varint(r.n) and r.back == r.n and r.l == len(fn.varint(r.n))
